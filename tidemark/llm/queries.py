@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.bitslice import top_k
 from tidemark.llm.decontaminate import contaminated
 from tidemark.llm.licenses import BASE_PHRASES, TEMPLATES, license_scan
+from tidemark.llm.packing import pack_sequences
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.storage import table
+from tidemark.llm.tokencount import token_counts
+from tidemark.llm.toxicity import toxicity_scores
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +23,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op5_token_counts, op6_best_fit_packing, op7_exact_top_k, op9_toxicity, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
