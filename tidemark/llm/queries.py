@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemark.llm.bagminhash import near_duplicates
 from tidemark.llm.bitslice import top_k
 from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.kneser_ney import quality
 from tidemark.llm.licenses import BASE_PHRASES, TEMPLATES, license_scan
+from tidemark.llm.linededup import line_classes
 from tidemark.llm.packing import pack_sequences
 from tidemark.llm.sharding import shard_by_bytes
 from tidemark.llm.storage import table
@@ -23,6 +26,14 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), 24)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,6 +46,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,5 +58,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_sharding, op5_token_counts, op6_best_fit_packing, op7_exact_top_k, op9_toxicity, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_sharding,
+        op3_minhash_near_dedup,
+        op4_line_dedup,
+        op5_token_counts,
+        op6_best_fit_packing,
+        op7_exact_top_k,
+        op8_quality,
+        op9_toxicity,
+        op10_license_scan,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
