@@ -28,7 +28,7 @@ def missing_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def counts_pivoted(rows: DataFrame, key: str, label: str, values: list) -> DataFrame:
-    out = rows.groupBy(key).pivot(label, values).agg(F.count("*")).na.fill(0)
+    out = rows.groupBy(key).pivot(label, values).count().na.fill(0)
     return out.withColumnsRenamed({str(v): f"n_{v}" for v in values})
 
 

@@ -115,8 +115,8 @@ def exact_subsets(rows: DataFrame, keys: list[str]) -> DataFrame:
     entry = F.when(F.col("eligible") & (F.col("priority") > 0), F.struct(F.col("client_id").cast("long").alias("id"), F.col("wire_bytes").alias("b"), F.col("priority").alias("p"), F.col("utility").alias("u")))
     grouped = rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(entry)).alias("pool"), F.first("budget").alias("budget_bytes"), F.count_if("eligible").alias("static_eligible_count"), F.count_if(F.col("eligible") & (F.col("priority") > 0)).alias("ranking_positive_count")
-    ).withColumn("checked", F.when(F.size("pool") > 20, F.raise_error(F.lit("exact search is for at most 20 candidates"))).otherwise(0))
-    masks = grouped.select("*", F.explode(F.sequence(F.lit(0), F.shiftleft(F.lit(1), F.size("pool")) - 1 + F.coalesce("checked", F.lit(0)))).alias("mask"))
+    ).withColumn("checked", F.when(F.size("pool") > 20, F.raise_error(F.lit("exact search is for at most 20 candidates"))).otherwise(F.lit(0)).cast("int"))
+    masks = grouped.select("*", F.explode(F.expr("sequence(0, shiftleft(1, size(pool)) - 1 + checked)")).alias("mask"))
     chosen = masks.withColumn("sub", F.expr("filter(pool, (x, i) -> (shiftright(mask, i) & 1) = 1)"))
     total = lambda f: F.aggregate("sub", F.lit(0.0), lambda s, x: s + x[f].cast("double"))
     valued = chosen.select(*keys, "budget_bytes", "static_eligible_count", "ranking_positive_count", total("p").alias("value"), total("u").alias("utility"), total("b").cast("long").alias("used"), F.transform("sub", lambda x: x["id"]).alias("ids"))
