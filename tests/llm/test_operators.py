@@ -1,0 +1,265 @@
+"""Each operator on small fixtures: brute force, invariants, nulls, empties, ties, repeats, clashing columns."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm.bagminhash import near_duplicates, one_per_class
+from tidemark.llm.bitslice import top_k
+from tidemark.llm.decontaminate import contaminated, decontaminate
+from tidemark.llm.kneser_ney import log_likelihoods, fit, quality
+from tidemark.llm.licenses import license_scan
+from tidemark.llm.linededup import drop_repeated_lines, line_classes
+from tidemark.llm.packing import pack_sequences
+from tidemark.llm.sharding import best_fit_decreasing, near_equal_shards, shard_by_bytes
+from tidemark.llm.storage import Scratch
+from tidemark.llm.tokencount import token_counts
+from tidemark.llm.toxicity import Lexicon, fold, toxicity_scores
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, bucket int, root string"
+
+
+def words(n, seed):
+    rng = np.random.default_rng(seed)
+    return ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 8))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty, blank and long texts, ties, repeated rows, columns named like inner ones."""
+    long = " ".join(words(20_000, 5))
+    base = words(60, 1)
+    texts = {
+        0: " ".join(base), 1: " ".join(base), 2: " ".join([*base[:58], "zz", "yy"]), 3: None, 4: "", 5: " \n ", 6: long, 7: long + " more", 8: "one", 9: "one", 10: "two words",
+        11: "same same same same same same same same", 12: "é é é\né é é", None: "no id here at all my friend",
+    }
+    rows = [(i, t, "en" if i else None, None, len(t) if t else None, "n", 1, "r") for i, t in texts.items()]
+    return spark.createDataFrame([*rows, rows[0]], DOC)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def test_near_duplicates(odd, empty):
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_duplicates(odd).collect()}
+    assert got[0] == got[1] == got[2] == (0, 4)
+    assert got[3] == got[4] == (3, 2) and got[5] == (5, 1)
+    assert got[6] == got[7] == (6, 2) and got[8] == got[9] == (8, 2) and got[10] == (10, 1) and got[None] == (None, 1)
+    assert near_duplicates(odd).count() == odd.count() and near_duplicates(empty).count() == 0
+    kept = one_per_class(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 0, 3, 5, 6, 8, 10, 11, 12]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for c in range(12):
+        base = words(80, 100 + c)
+        for _ in range(12):
+            own = list(base)
+            for at in rng.integers(0, 80, rng.integers(0, 4)):
+                own[at] = "x" + str(rng.integers(0, 50))
+            texts.append(" ".join(own))
+    got = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_lines(odd, empty, spark):
+    got = {(r.doc_id, r.line): (r.class_doc_id, r.class_line, r.kept) for r in line_classes(odd).collect()}
+    assert got[1, 0] == (0, 0, False) and got[2, 0] == (0, 0, False) and got[0, 0] == (0, 0, True)
+    assert got[4, 0] == (4, 0, True) and got[5, 0] == (5, 0, True) and got[12, 1] == (12, 0, False) and not any(k[0] == 3 for k in got)
+    assert line_classes(empty).count() == 0
+    out = {r.doc_id: r for r in drop_repeated_lines(odd).collect()}
+    assert drop_repeated_lines(odd).columns == odd.columns and drop_repeated_lines(odd).count() == odd.count()
+    assert out[1].text == "" and out[1].n_chars == 0 and out[12].text == "é é é" and out[12].n_chars == 5 and out[3].text is None and out[0].text is not None
+    near = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog near the old river bank today"), (2, "the quick brown fox jumps over the lazy dog near the old river bank tonight\nother")], "doc_id long, text string")
+    assert {(r.doc_id, r.line) for r in line_classes(near, threshold=0.7).where("kept").collect()} == {(1, 0), (2, 1)}
+
+
+def test_contamination(spark, odd, empty):
+    item = words(30, 9)
+    docs = spark.createDataFrame(
+        [(1, " ".join(words(3000, 10) + item + words(3000, 11))), (2, " ".join(item[:15] + words(50, 12))), (3, " ".join(words(500, 13))), (4, " ".join(words(900, 14) + item[:16] + words(900, 15) + item[14:])), (5, None), (6, "tiny")],
+        "doc_id long, text string",
+    )
+    tests = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (4, "tiny"), (1, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.containment for r in contaminated(docs, tests).collect()}
+    assert got == {(1, 1): 1.0, (4, 1): pytest.approx(24 / 26, abs=0.08), (6, 4): 1.0}
+    assert sorted(r.doc_id for r in decontaminate(docs, tests).collect()) == [2, 3, 5]
+    assert contaminated(empty, tests).count() == 0 and contaminated(odd, tests.limit(0)).count() == 0
+    assert decontaminate(odd, tests).columns == odd.columns
+
+
+def test_shards(odd, empty):
+    for shards in (1, 3, 24):
+        rows = shard_by_bytes(odd, shards).collect()
+        assert len(rows) == odd.count() and all(r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < shards for r in rows)
+        for s in range(shards):
+            assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+        by_text = {}
+        for r in rows:
+            by_text.setdefault(r.text_crc32, set()).add(r.shard)
+        assert all(len(s) == 1 for s in by_text.values())
+    one = {r.doc_id: r for r in rows}
+    assert one[3].size == 8 and one[3].text_crc32 is None and one[12].size == 17 + 8 and one[12].text_crc32 == zlib.crc32("é é é\né é é".encode())
+    assert shard_by_bytes(empty).count() == 0
+
+
+def test_bin_packing_of_histograms():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        sizes = Counter(rng.integers(1, 50, 200).tolist())
+        used, runs = best_fit_decreasing(list(sizes.items()), 60)
+        load = Counter()
+        for size, _, where, n in runs:
+            load[where] += size * n
+        assert max(load.values()) <= 60 and len(load) == used
+        plain = []
+        for s in sorted(sizes.elements(), reverse=True):
+            fit = [i for i, room in enumerate(plain) if room >= s]
+            if fit:
+                plain[min(fit, key=lambda i: plain[i])] -= s
+            else:
+                plain.append(60 - s)
+        assert used == len(plain)
+        runs = near_equal_shards([*sizes.items(), (100_000, 1)], 5)
+        load = Counter()
+        for size, _, where, n in runs:
+            load[where] += size * n
+        rest = sorted(load.values())[:-1]
+        assert max(load.values()) == 100_000 and max(rest) - min(rest) <= 60 and len(load) == 5
+
+
+def test_packing(odd, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BPE)
+    rows = pack_sequences(odd, BPE).collect()
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    by_doc, by_sequence = {}, {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        by_sequence.setdefault(r.sequence_id, []).append(r)
+    for i, own in by_doc.items():
+        ids = [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 0]
+        pieces = {r.piece: r for r in own}
+        assert sum(r.length for r in pieces.values()) == len(ids)
+        for n, r in pieces.items():
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()) and (n == 0 or r.length == 2048)
+    for own in by_sequence.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    assert set(by_doc) == set(texts) and len(by_sequence) == -(-sum(r.length for r in rows) // 2048)
+    assert pack_sequences(empty, BPE).count() == 0
+
+
+def test_token_counts(odd, empty):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts(odd, path).collect()}
+    assert got[3] == got[4] == got[5] == (0, 0) and got[11][0] == 8 and got[11][1] % 8 == 0 and got[10][0] == 2
+    assert token_counts(empty, path).count() == 0
+
+
+def test_top_k_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vectors = [[float(x) for x in v] for v in rng.normal(0, 0.2, (300, 8))] + [[0.1] * 8] * 20
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(400, None), (450, [0.1, None] + [0.0] * 6), (500, [float("nan")] * 8), (550, [float("inf")] * 8), (None, vectors[0]), (600, []), (650, [0.5] * 3), (700, vectors[3]), (700, vectors[3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in top_k(df, F.col("vec_id") % 50 == 0, block_rows=64).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    ints = [(i, np.array([int(np.floor(256 * x)) for x in v] + [0] * (8 - len(v)))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    queries = {i: v for i, v in ints if i % 50 == 0}
+    assert set(got) == set(queries) and {600, 650, 700} <= set(queries)
+    for q, v in queries.items():
+        best = sorted(((-int(v @ w), i) for i, w in ints if i != q))[:5]
+        assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in best]
+    assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    huge = spark.createDataFrame([(0, [1e12, -1e12]), (1, [1e12, 1.0]), (2, [-1e12, 3.0])], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
+
+
+def test_quality(spark, odd, empty):
+    good = [(i, " ".join(words(80, 1 + i % 7)), "en") for i in range(40)]
+    bad = [(100 + i, "### $$$ %%% ^^^ " * 20, "en") for i in range(5)]
+    docs = spark.createDataFrame([*good, *bad, (200, None, "en"), (201, "", None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(100, 0), (None, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality(docs, labels).collect()}
+    assert all(got[i].keep for i in range(30)) and not any(got[100 + i].keep for i in range(5)) and not got[200].keep and not got[201].keep and got[200].perplexity is None
+    assert quality(empty, labels).count() == 0 and quality(odd, labels.limit(0)).count() == odd.count()
+
+
+def test_kneser_ney_is_a_distribution_and_shards_agree(spark):
+    texts = spark.createDataFrame([(" ".join(words(200, s)),) for s in range(3)], "text string")
+    scratch = Scratch(spark)
+    model, weights = fit(texts, scratch, 3)
+    context = "ab"
+    probe = spark.createDataFrame([((context + chr(c)),) for c in range(1, 128)] + [(context,)], "text string")
+    whole = {r.text: r.total for r in log_likelihoods(probe, model, weights, 3, scratch).collect()}
+    mass = sum(np.exp(whole[context + chr(c)] - whole[context]) for c in range(1, 128))
+    assert 0.45 < mass <= 1.0 + 1e-6  # the rest belongs to the other 129 symbols
+    parts = {r.text: r.total for r in log_likelihoods(probe, model, weights, 3, scratch, shard_rows=200).collect()}
+    assert all(abs(parts[t] - whole[t]) < 1e-4 for t in whole)
+
+
+def test_folding_and_exceptions():
+    lexicon = Lexicon({"idiot": 5.0, "trash": 4.0}, {"lowei": 3.0}, ["trash can"])
+    assert fold("1D10T") == "idiot" and fold("іdіоt") == "idiot" and fold("tr@sh") == "trash" and fold("a$$b c$") == "assb c$"
+    assert [w for _, _, w in lexicon.hits(fold("You 1d10t! idiotic, loweiung"))] == [5.0, 3.0]
+    assert lexicon.hits(fold("a trash can")) == [] and len(lexicon.hits(fold("a trash cat"))) == 1
+
+
+def test_toxicity(spark, odd, empty):
+    clean = [(i, " ".join(words(60, i))) for i in range(120)]
+    toxic = [(200 + i, " ".join([*words(30, 500 + i), "moronic", "scumbag", *words(30, 800 + i)])) for i in range(60)]
+    docs = spark.createDataFrame([*clean, *toxic, (900, None), (901, ""), (902, " ".join([*words(30, 950), "m0r0nic", "scumbаg"]))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in toxic] + [(901, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity_scores(docs, labels).collect()}
+    assert sum(got[i].predicted == 1 for i, _ in toxic) >= 59 and sum(got[i].predicted for i, _ in clean) == 0 and got[902].predicted == 1 and got[900].predicted == got[901].predicted == 0
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got) and all(0 <= r.score <= 1 for r in got.values())
+    assert toxicity_scores(empty, labels).count() == 0 and {r.predicted for r in toxicity_scores(odd, labels.limit(0)).collect()} == {0}
+
+
+def test_licenses(spark, odd, empty):
+    docs = spark.createDataFrame(
+        [(1, "Released under the MIT-License.\nmit license"), (2, "Licensed under the Apache License, Version 2.0."), (3, "licensed under cc by nc 4.0 today"), (4, "the license of mit"), (5, None), (6, "x" * 100 + "\nno"), (7, "GNU General\nPublic License")],
+        "doc_id long, text string",
+    )
+    got = {r.doc_id: r for r in license_scan(docs).collect()}
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels, got[1].n_words) == (2, 3, 5, "mit", 7)
+    assert got[2].labels == "apache" and got[2].score == 1.0 and got[3].base_labels == "" and got[3].labels == "cc-by-nc" and got[4].labels == "" and got[5].n_words == 0 and got[5].first_word is None
+    assert got[7].base_labels == "gpl" and got[7].first_word == 1
+    assert license_scan(empty).count() == 0 and license_scan(odd).count() == odd.count()
+    template = [("t", " ".join(words(10, 1)))]
+    rng = np.random.default_rng(0)
+    texts = ["\n".join(" ".join(rng.permutation([*words(10, 1)[: rng.integers(0, 11)], *words(5, 2)])) for _ in range(4)) for _ in range(40)]
+    found = {r.doc_id: r.score for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=template, threshold=0.6).collect()}
+    want = set(words(10, 1))
+    for i, t in enumerate(texts):
+        best = max(len(want & set(re.findall(r"[a-z]+", line))) / len(want) for line in t.split("\n"))
+        assert found[i] == pytest.approx(best if best >= 0.6 else 0.0)
