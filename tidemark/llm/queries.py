@@ -73,4 +73,40 @@ QUERIES = {
         op10_license_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _words(text: str) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"regexp_extract_all(translate({text}, '{letters}', '{letters.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _shingled(key: str, source: str) -> str:
+    windows = "list_transform(range(1, greatest(len(ws) - 3, 1)), lambda i: array_to_string(ws[i:i + 4], ' '))"
+    return f"SELECT {key}, unnest(list_distinct({windows})) AS g FROM (SELECT {key}, {_words('text')} AS ws FROM {source})"
+
+
+_DECONTAMINATION_SQL = f"""WITH d AS ({_shingled('doc_id', 'documents')}), b AS ({_shingled('item_id', 'benchmark')}), n AS (SELECT item_id, count(*) AS total FROM b GROUP BY item_id)
+SELECT doc_id, item_id, shared, total AS "of", CAST(shared AS DOUBLE) / total AS containment FROM (SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (g) GROUP BY doc_id, item_id) JOIN n USING (item_id) WHERE shared >= 0.8 * total"""
+
+_TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score,
+ row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.v, c.v) DESC, c.vec_id) AS rank FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id) WHERE rank <= 5"""
+
+_PHRASES = "[" + ", ".join(f"{{'p': {p.split()!r}, 'label': '{label}'}}" for p, label in BASE_PHRASES) + "]"
+_TEMPLATES = "[" + ", ".join(f"{{'t': {sorted(set(t.split()))!r}, 'label': '{label}'}}" for label, t in TEMPLATES) + "]"
+_LICENSE_SQL = f"""WITH w AS (SELECT doc_id, {_words("coalesce(text, '')")} AS ws FROM documents),
+h AS (SELECT doc_id, ph.label AS label, unnest(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i + len(ph.p) - 1] = ph.p)) - 1 AS place FROM (SELECT doc_id, ws, unnest({_PHRASES}) AS ph FROM w)),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM h GROUP BY doc_id),
+lines AS (SELECT doc_id, list_distinct({_words('line')}) AS lw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+met AS (SELECT doc_id, tp.label AS label, CAST(len(list_intersect(lw, tp.t)) AS DOUBLE) / len(tp.t) AS c FROM (SELECT doc_id, lw, unnest({_TEMPLATES}) AS tp FROM lines WHERE len(lw) > 0) WHERE len(list_intersect(lw, tp.t)) >= 0.8 * len(tp.t)),
+lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM h UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h GROUP BY doc_id), sc AS (SELECT doc_id, max(c) AS score FROM met GROUP BY doc_id)
+SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN lab USING (doc_id) LEFT JOIN sc USING (doc_id)"""
+
+#: The others have no SQL form: learned models, tokenizers, greedy packing, classes from signatures.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": _DECONTAMINATION_SQL,
+    "op7_exact_top_k": _TOP_K_SQL,
+    "op10_license_scan": _LICENSE_SQL,
+}
