@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Seconds of airtime come from these link rates (Mbit/s), by (client + seed) mod 10.
-UPLINK_RATES = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0)
+#: Link rates in Mbit/s, by (client + seed) mod 10; one Mbit/s is one bit a microsecond.
+UPLINK_RATES = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 10.0, 15.0, 20.0)
 WIRE_OVERHEAD = 64
 
 

@@ -17,7 +17,9 @@ from tidemark.operators.selection import select_clients
 from tidemark.operators.vectors import clipped_mean, weighted_mean
 
 #: Fixed values of local training.
-STEPS, BATCH, RATE, DECAY, CLIP = 24, 512, 1e-3, 1e-4, 5.0
+STEPS, BATCH, RATE, DECAY, CLIP, DROPOUT = 24, 512, 1e-3, 1e-4, 5.0, 0.1
+#: Fixed values of attacks: share of labels flipped, factor of a flipped update, utility that a forger adds.
+FLIP_SHARE, SIGN_FLIP, FORGED = 0.5, -5.0, 1.0
 
 
 def shapes(features: int, hidden: tuple[int, int] = (128, 64)) -> list[tuple[int, ...]]:
@@ -48,19 +50,20 @@ def score(vector: np.ndarray, x: np.ndarray, hidden: tuple[int, int] = (128, 64)
 def train_local(vector: np.ndarray, x: np.ndarray, y: np.ndarray, seed: int, hidden: tuple[int, int] = (128, 64), steps: int = STEPS, flip: bool = False) -> np.ndarray:
     """A new vector after ``steps`` AdamW steps of class-weighted cross-entropy; the given one stays as it is."""
     rng = np.random.default_rng(seed)
-    y = 1 - y if flip else y
+    y = np.where(rng.random(len(y)) < FLIP_SHARE, 1 - y, y) if flip else y
     weights = len(y) / (2.0 * np.maximum(1, np.bincount(y.astype(int), minlength=2)))
     p = _unflatten(vector, shapes(x.shape[1], hidden))
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for t in range(1, steps + 1):
         take = rng.integers(0, len(y), min(BATCH, len(y)))
         xb, yb = x[take], y[take].astype(np.float64)
-        h1 = np.maximum(xb @ p[0] + p[1], 0)
-        h2 = np.maximum(h1 @ p[2] + p[3], 0)
+        keep1, keep2 = ((rng.random((len(take), len(b))) >= DROPOUT) / (1 - DROPOUT) for b in (p[1], p[3]))
+        h1 = np.maximum(xb @ p[0] + p[1], 0) * keep1
+        h2 = np.maximum(h1 @ p[2] + p[3], 0) * keep2
         out = 1 / (1 + np.exp(-np.clip(h2 @ p[4] + p[5], -40, 40)))[:, 0]
         g = ((out - yb) * weights[yb.astype(int)] / len(yb))[:, None]
-        g2 = (g @ p[4].T) * (h2 > 0)
-        g1 = (g2 @ p[2].T) * (h1 > 0)
+        g2 = (g @ p[4].T) * (h2 > 0) * keep2
+        g1 = (g2 @ p[2].T) * (h1 > 0) * keep1
         grads = [xb.T @ g1, g1.sum(0), h1.T @ g2, g2.sum(0), h2.T @ g, g.sum(0)]
         norm = np.sqrt(sum(float((a * a).sum()) for a in grads))
         grads = [a * min(1.0, CLIP / max(norm, 1e-12)) for a in grads]
@@ -76,8 +79,11 @@ def _quality(y: np.ndarray, p: np.ndarray) -> tuple[float, float]:
     return (2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0), fp / max(1.0, fp + tn)
 
 
-def client_updates(rows: DataFrame, features: list[str], vector: np.ndarray, round_: int, seed: int, hidden: tuple[int, int] = (128, 64), steps: int = STEPS, flipped: tuple[int, ...] = ()) -> DataFrame:
-    """One candidate row per client (with its delta): rows need client_id, part ('fit' or 'utility'), label and the features."""
+def client_updates(rows: DataFrame, features: list[str], vector: np.ndarray, round_: int, seed: int, hidden: tuple[int, int] = (128, 64), steps: int = STEPS, malicious: tuple[int, ...] = (), attack: str = "clean", forged: bool = False) -> DataFrame:
+    """One candidate row per client (with its delta): rows need client_id, part ('fit' or 'utility'), label and the features.
+
+    ``attack``: clean, label_flip or sign_flip, by the malicious clients; ``forged``: they also add to their utility.
+    """
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
         import time
@@ -87,14 +93,15 @@ def client_updates(rows: DataFrame, features: list[str], vector: np.ndarray, rou
         own, held = frame[frame["part"] == "fit"], frame[frame["part"] != "fit"]
         x, y = own[features].to_numpy(dtype=np.float64), own["label"].to_numpy(dtype=int)
         began = time.process_time()
-        new = train_local(vector, x, y, seed * 1_000_003 + round_ * 1_009 + client, hidden, steps, client in flipped)
+        new = train_local(vector, x, y, seed * 1_000_003 + round_ * 1_009 + client, hidden, steps, client in malicious and attack == "label_flip")
         took = time.process_time() - began
         ux, uy = held[features].to_numpy(dtype=np.float64), held["label"].to_numpy(dtype=int)
         (f0, r0), (f1, r1) = (_quality(uy, score(v, ux, hidden)) if len(uy) else (0.0, 0.0) for v in (vector, new))
-        delta = new - vector
+        delta = (new - vector) * np.float32(SIGN_FLIP if client in malicious and attack == "sign_flip" else 1.0)
+        lie = FORGED if forged and client in malicious else 0.0
         wire = len(zlib.compress(b"\0" * 12 + delta.astype("<f4").tobytes(), 6)) + WIRE_OVERHEAD
         return pd.DataFrame({
-            "client_id": [client], "utility": [(f1 - 0.25 * r1) - (f0 - 0.25 * r0)], "wire_bytes": [wire], "n_fit": [len(own)], "n_utility": [len(held)], "utility_benign": [int((uy == 0).sum())],
+            "client_id": [client], "utility": [(f1 - 0.25 * r1) - (f0 - 0.25 * r0) + lie], "wire_bytes": [wire], "n_fit": [len(own)], "n_utility": [len(held)], "utility_benign": [int((uy == 0).sum())],
             "utility_attack": [int((uy == 1).sum())], "predicted_airtime_us": [float(wire * 8)], "local_training_seconds": [took], "delta": [delta.tolist()],
         })
 

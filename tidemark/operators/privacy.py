@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.columns import keyed_draw
 from tidemark.operators.metrics import aucs
 
-RAW = ("utility", "wire_bytes", "n_fit", "n_utility", "utility_benign", "utility_attack")
+RAW = ("utility", "wire_bytes", "n_fit", "eligible")
 
 
 def view_raw(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Six exact fields: the two keys (round and client), utility, bytes, fit rows and eligibility."""
     return records.select(*keys, *RAW)
 
 
@@ -46,7 +47,8 @@ def tertile(df: DataFrame, column: str, order: list[str], out: str, by: list[str
 
 
 def view_bucketed(records: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    return tertile(tertile(records, "utility", keys, "utility_bucket", by), "wire_bytes", keys, "bytes_bucket", by).select(*keys, "utility_bucket", "bytes_bucket")
+    """Tertiles of utility and bytes over all records of a cell (``by`` names the cell; a cell has a few thousand records)."""
+    return tertile(tertile(records, "utility", keys, "utility_bucket", by), "wire_bytes", keys, "cost_bucket", by).select(*keys, "utility_bucket", "cost_bucket")
 
 
 def above_median(rows: DataFrame, by: list[str], column: str, out: str = "target") -> DataFrame:

@@ -42,7 +42,7 @@ def static_eligible(budget: Column, support: dict[str, int] | None = None) -> Co
     return F.coalesce(ok, F.lit(False))
 
 
-def with_priority(candidates: DataFrame, method: str, keys: list[str], gamma: float = 2.0, seed: int = 0) -> DataFrame:
+def with_priority(candidates: DataFrame, method: str, keys: list[str], gamma: float = 1.0, seed: int = 0) -> DataFrame:
     """``priority`` of every candidate under a method (all candidates count for the scaling, eligible or not)."""
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
@@ -72,7 +72,7 @@ def with_priority(candidates: DataFrame, method: str, keys: list[str], gamma: fl
 
 
 def select_clients(
-    candidates: DataFrame, method: str, keys: list[str], beta: float | None, support: dict[str, int] | None = None, gamma: float = 2.0, seed: int = 0
+    candidates: DataFrame, method: str, keys: list[str], beta: float | None, support: dict[str, int] | None = None, gamma: float = 1.0, seed: int = 0
 ) -> DataFrame:
     """One row per group: selected (ids in order of admission), used_bytes and diagnostics.
 

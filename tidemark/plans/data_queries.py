@@ -225,7 +225,7 @@ query("repeated_keys", "SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem
 query("sum_violations", f"SELECT round, CAST(sum(utility_attack) AS BIGINT) AS total FROM ({CANDIDATES}) GROUP BY round HAVING sum(utility_attack) NOT IN (60, 70)")(lambda spark, sf: checks.violations(candidates(spark, sf), ["round"], "utility_attack", [60, 70]))
 query("round_coverage", f"SELECT round, count(*) AS n, count(DISTINCT client_id) AS members, count(DISTINCT client_id) = 10 AS complete FROM ({CANDIDATES}) GROUP BY round")(lambda spark, sf: checks.coverage(candidates(spark, sf), ["round"], "client_id", 10))
 _METHODS = ["Random-Budget", "Cost-Only", "Utility-Only", "Utility-Cost-Ratio", "CB-Score", "Historical-DoubleCost", "Oort-Style-Adapted", "Oracle-Score-Exact"]
-_BETAS, _SETS = [0.1, 0.2, 0.4, 0.6, 0.8, 1.0], ["CICIDS2017", "CICIoT2023"]
+_BETAS, _SETS = [0.1, 0.2, 0.4, 0.6, 0.8, 1.0], ["flows_a", "flows_b"]
 
 
 def _primary(spark, sf):

@@ -23,7 +23,7 @@ _PRIORITY = {
     "Utility-Cost-Ratio": "greatest(utility, 0) / (wire_bytes + 1e-12::DOUBLE)",
     "CB-Score": _CB,
     "Historical-DoubleCost": f"({_CB}) / (wire_bytes + 1e-12::DOUBLE)",
-    "Oort-Style-Adapted": "greatest(utility, 0) * CASE WHEN predicted_airtime_us + local_training_seconds * 1e6 > td THEN pow(td / (predicted_airtime_us + local_training_seconds * 1e6), 2) ELSE 1 END",
+    "Oort-Style-Adapted": "greatest(utility, 0) * CASE WHEN predicted_airtime_us + local_training_seconds * 1e6 > td THEN pow(td / (predicted_airtime_us + local_training_seconds * 1e6), 1) ELSE 1 END",
 }
 _OUT = "round, selected, used_bytes, budget_bytes, {u}, static_eligible_count, ranking_positive_count, empty_round"
 

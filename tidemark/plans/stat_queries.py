@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import privacy, reports, stats, vectors
+from tidemark.operators.selection import round_budgets, static_eligible
 from tidemark.plans.base import CANDIDATES, METRICS, PREDICTIONS, ROUNDS, candidates, draw, metrics, predictions, query, r6, read, rounds
 
 VALUES = ["f1", "pr_auc", "fpr"]
@@ -134,8 +135,15 @@ query("cumulative_totals", f"SELECT method, CAST(sum(used_bytes) AS BIGINT) AS t
 
 # Privacy views over the candidates of every round.
 _PK = ["round", "client_id"]
-query("view_raw", f"SELECT round, client_id, {r6('utility * 1000', 'utility')}, wire_bytes, n_fit, n_utility, utility_benign, utility_attack FROM ({CANDIDATES})")(
-    lambda spark, sf: privacy.view_raw(candidates(spark, sf), _PK).withColumn("utility", F.col("utility") * 1000)
+_ELIGIBLE = "isfinite(utility) AND wire_bytes > 0 AND wire_bytes <= budget AND n_utility >= 20 AND utility_benign >= 5 AND utility_attack >= 5 AND n_fit >= 180"
+
+
+def _records(spark, sf):
+    return round_budgets(candidates(spark, sf), ["round"], 0.4).withColumn("eligible", static_eligible(F.col("budget")).cast("int"))
+
+
+query("view_raw", f"SELECT round, client_id, {r6('utility * 1000', 'utility')}, wire_bytes, n_fit, CAST({_ELIGIBLE} AS BIGINT) AS eligible FROM (SELECT *, CAST(floor(0.4::DOUBLE * sum(wire_bytes) OVER (PARTITION BY round)) AS BIGINT) AS budget FROM ({CANDIDATES}))")(
+    lambda spark, sf: privacy.view_raw(_records(spark, sf), _PK).withColumn("utility", F.col("utility") * 1000)
 )
 
 
@@ -155,12 +163,14 @@ query("view_no_size", f"SELECT round, client_id, {r6(f'{_CLIP} + 0.2::DOUBLE * (
 
 
 def _tertile_sql(column: str) -> str:
-    rank = f"row_number() OVER (PARTITION BY round ORDER BY {column}, round, client_id)"
-    n = "count(*) OVER (PARTITION BY round)"
+    rank = f"row_number() OVER (ORDER BY {column}, round, client_id)"
+    n = "count(*) OVER ()"
     return f"CAST(CASE WHEN {rank} <= 1 + (1.0::DOUBLE / 3) * ({n} - 1) + 1e-9 THEN 0 WHEN {rank} <= 1 + (2.0::DOUBLE / 3) * ({n} - 1) + 1e-9 THEN 1 ELSE 2 END AS BIGINT)"
 
 
-query("view_bucketed", f"SELECT round, client_id, {_tertile_sql('utility')} AS utility_bucket, {_tertile_sql('wire_bytes')} AS bytes_bucket FROM ({CANDIDATES})")(lambda spark, sf: privacy.view_bucketed(candidates(spark, sf), _PK, ["round"]))
+query("view_bucketed", f"SELECT round, client_id, {_tertile_sql('utility')} AS utility_bucket, {_tertile_sql('wire_bytes')} AS cost_bucket FROM ({CANDIDATES})")(
+    lambda spark, sf: privacy.view_bucketed(candidates(spark, sf).withColumn("cell", F.lit(0)), _PK, ["cell"])
+)
 query("above_median_target", f"SELECT round, client_id, CAST(wire_bytes > quantile_cont(CAST(wire_bytes AS DOUBLE), 0.5) OVER (PARTITION BY round) AS BIGINT) AS target FROM ({CANDIDATES})")(
     lambda spark, sf: privacy.above_median(candidates(spark, sf), ["round"], "wire_bytes").select("round", "client_id", "target")
 )
