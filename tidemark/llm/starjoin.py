@@ -3,88 +3,95 @@
 In each bucket one hub (the node that shares most buckets with others) is compared
 with all members. Members found in the hub's class need no more comparisons there.
 The others are compared, a bounded number a bucket and round, with every member of
-another class, until no bucket holds an uncompared pair of two classes. Jaccard
-distance is a metric, so a pair whose distances from the hub differ by more than
-the distance allowed is known to be too far apart and isn't looked at. Pairs of a
-round grow with the members of the buckets, and classes come out as if every pair
-of every bucket had been compared.
+another class, until no bucket holds an uncompared pair of two classes. Two bounds
+spare comparisons and lose nothing: Jaccard distance is a metric, so a pair whose
+distances from the hub differ by more than the distance allowed is too far apart;
+and so is a pair whose sizes have too small a ratio. Pairs of a round grow with
+the members of the buckets, and classes come out as if every pair of every bucket
+had been compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.storage import Scratch
 
 #: Members of a bucket that one round compares with the bucket.
-HUBS = 16
+HUBS = 64
+#: Shared buckets that may be broadcast to pick their members (16 bytes each); beyond, members are shuffled to them.
+BROADCAST_BUCKETS = 1_000_000
 
 
-def _ordered(x: str, y: str):
+def _ordered(x: str, y: str) -> tuple[Column, Column]:
     a, b = F.col(x), F.col(y)
     return F.when(a < b, a).otherwise(b).alias("a"), F.when(a < b, b).otherwise(a).alias("b")
 
 
-def similar_classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """((node, root) of nodes in classes of two or more, (a, b, sim) of compared pairs).
+def _rooted(df: DataFrame, roots: DataFrame, node: str, out: str) -> DataFrame:
+    label = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    return df.join(label, df[node] == label["__n"], "left").withColumn(out, F.coalesce("__r", node)).drop("__n", "__r")
 
-    ``members``: bucket, node. ``verify`` gives pairs (a, b) their exact similarity sim.
+
+def similar_classes(
+    members: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], compare: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch
+) -> DataFrame:
+    """(node, root) of the nodes in classes of two or more.
+
+    ``members``: bucket, node, from a written table, for it is read twice. ``fetch`` gets the nodes that share a bucket, and how
+    many they are, and gives (node, content, size); ``compare`` turns (a, b, x, y),
+    x and y being the contents, into (a, b, sim). Contents are fetched once.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch.put(members.join(sizes, "bucket"))
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
-    shared_ = scratch.put(shared.join(degree, "node").select("bucket", "node", "degree"))
+    sizes = scratch.put(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    few = sizes.count() <= BROADCAST_BUCKETS
+    shared = scratch.put(members.join(F.broadcast(sizes) if few else sizes, "bucket"))
+    degree = scratch.put(shared.groupBy("node").agg(F.sum("n").alias("degree")))
+    contents = scratch.put(fetch(degree.select("node"), degree.count()))
+    described = degree.join(contents.select("node", "size"), "node")
+    buckets = scratch.put(shared.select("bucket", "node").join(described, "node"))
     scratch.drop(shared)
-    hubs = scratch.put(shared_.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub")))
-    spokes = shared_.join(hubs, "bucket").where("node <> hub")
-    compared = scratch.put(verify(spokes.select(*_ordered("node", "hub")).distinct()))
-    all_compared = [compared]
+    hubs = scratch.put(buckets.groupBy("bucket").agg(F.max(F.struct("degree", "node", "size")).alias("top")).select("bucket", F.col("top.node").alias("hub"), F.col("top.size").alias("hub_size")))
+    near = threshold - 1e-9
 
-    def classes() -> DataFrame:
-        union = all_compared[0]
-        for more in all_compared[1:]:
-            union = union.unionByName(more)
-        return scratch.put(connected_components(union.where(F.col("sim") >= threshold - 1e-9).select("a", "b"), scratch))
+    def alike(pairs: DataFrame) -> DataFrame:
+        left = contents.select(F.col("node").alias("a"), F.col("content").alias("x"))
+        right = contents.select(F.col("node").alias("b"), F.col("content").alias("y"))
+        return scratch.put(compare(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")))
 
-    roots = classes()
-    # Distance from the hub of each member, kept only in buckets that hold more than one class.
-    label = roots.withColumnsRenamed({"node": "node_", "root": "root_"})
-    first = spokes.select("bucket", "node", "hub", "degree", *_ordered("node", "hub")).join(compared, ["a", "b"]).select("bucket", "node", "hub", "degree", (1 - F.col("sim")).alias("d"))
-    first = first.join(label, first["node"] == label["node_"], "left").select("bucket", "node", "hub", "degree", "d", F.coalesce("root_", "node").alias("root"))
-    first = first.join(label, first["hub"] == label["node_"], "left").select("bucket", "node", "degree", "d", "root", F.coalesce("root_", "hub").alias("hub_root"))
-    mixed = first.where("root <> hub_root").select("bucket").distinct()
-    open_ = scratch.put(first.join(mixed, "bucket").select("bucket", "node", "degree", "d", F.lit(0).alias("closed")))
-    hub_of = hubs
-    reach = 1 - threshold + 1e-9
-    rounds = 0
+    spokes = buckets.join(hubs, "bucket").where("node <> hub")
+    fits = F.least("size", "hub_size") >= near * F.greatest("size", "hub_size")
+    compared = alike(spokes.where(fits).select(*_ordered("node", "hub")).distinct())
+    roots = scratch.put(connected_components(compared.where(F.col("sim") >= near).select("a", "b"), scratch))
+    # Buckets with members outside their hub's class, and each member's distance from the hub (unknown for sizes that don't fit).
+    far = spokes.select("bucket", "node", "hub", "degree", "size", *_ordered("node", "hub")).join(compared, ["a", "b"], "left").select("bucket", "node", "hub", "degree", "size", (1 - F.col("sim")).alias("d"))
+    far = _rooted(_rooted(far, roots, "node", "root"), roots, "hub", "hub_root")
+    mixed = far.where("root <> hub_root").groupBy("bucket").agg(F.count("*").alias("out"), F.lit(True).alias("mixed"))
+    several = far.groupBy("bucket").agg(F.count("*").alias("n")).join(mixed, "bucket").where("n > 1")  # a bucket of two is done
+    open_ = scratch.put(far.join(several.select("bucket"), "bucket").select("bucket", "node", "hub", "degree", "size", "d", F.lit(False).alias("closed")))
     while True:
-        rounds += 1
-        label = roots.withColumnsRenamed({"node": "node_", "root": "root_"})
-        now = open_.join(hub_of, "bucket")
-        now = now.join(label, now["node"] == label["node_"], "left").select("bucket", "node", "degree", "d", "closed", "hub", F.coalesce("root_", "node").alias("root"))
-        now = now.join(label, now["hub"] == label["node_"], "left").select("bucket", "node", "degree", "d", "closed", "root", F.coalesce("root_", "hub").alias("hub_root"))
-        waiting = now.where("closed = 0 and root <> hub_root")
-        chosen = waiting.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "node"))).where(F.col("rank") <= HUBS)
-        chosen = scratch.put(chosen.select("bucket", F.col("node").alias("probe"), F.col("d").alias("probe_d"), F.col("root").alias("probe_root")))
-        if not chosen.limit(1).count():
-            break
-        pairs = now.join(chosen, "bucket").where((F.col("root") != F.col("probe_root")) & (F.abs(F.col("d") - F.col("probe_d")) <= reach))
-        pairs = pairs.select(*_ordered("node", "probe")).distinct()
-        for known in all_compared:
-            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = scratch.put(verify(pairs))
-        all_compared.append(found)
-        # Buckets whose members are now all compared, or all of the hub's class, fall away.
-        closing = chosen.select("bucket", F.col("probe").alias("node"), F.lit(1).alias("shut"))
-        after = scratch.put(open_.join(closing, ["bucket", "node"], "left").select("bucket", "node", "degree", "d", F.greatest("closed", F.coalesce("shut", F.lit(0))).alias("closed")))
+        now = _rooted(_rooted(open_, roots, "node", "root"), roots, "hub", "hub_root")
+        waiting = now.where("not closed and root <> hub_root")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
+        chosen = waiting.withColumn("__rank", rank).where(F.col("__rank") <= HUBS)
+        chosen = scratch.put(chosen.select("bucket", F.col("node").alias("probe"), F.col("d").alias("probe_d"), F.col("size").alias("probe_size"), F.col("root").alias("probe_root")))
+        if not chosen.count():
+            return roots
+        apart = F.coalesce(F.abs(F.col("d") - F.col("probe_d")) > 1 - near, F.lit(False))
+        fits = F.least("size", "probe_size") >= near * F.greatest("size", "probe_size")
+        # A pair met in several buckets is compared once; pairs of two probes meet from both sides.
+        pairs = now.join(chosen, "bucket").where((F.col("root") != F.col("probe_root")) & fits & ~apart).select(*_ordered("node", "probe")).distinct()
+        links = alike(pairs).where(F.col("sim") >= near)
+        closing = chosen.select("bucket", F.col("probe").alias("node"), F.lit(True).alias("shut"))
+        after = scratch.put(open_.join(closing, ["bucket", "node"], "left").withColumn("closed", F.col("closed") | F.coalesce("shut", F.lit(False))).drop("shut"))
         scratch.drop(open_, chosen)
         open_ = after
-        if found.where(F.col("sim") >= threshold - 1e-9).limit(1).count():
-            roots = classes()
-    union = all_compared[0]
-    for more in all_compared[1:]:
-        union = union.unionByName(more)
-    return roots, union
+        joined = _rooted(_rooted(links, roots, "a", "__ra"), roots, "b", "__rb").select(F.col("__ra").alias("a"), F.col("__rb").alias("b")).where("a <> b")
+        moved = scratch.put(connected_components(joined, scratch))
+        if moved.count():
+            step = moved.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+            relabelled = roots.join(step, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+            new = moved.join(roots.select("node"), "node", "left_anti")
+            roots = scratch.put(relabelled.unionByName(new).distinct())
