@@ -1,14 +1,14 @@
 """Classes of similar nodes from shared buckets, without a bucket's all pairs.
 
 In each bucket one hub (the node that shares most buckets with others) is compared
-with all members. Members found in the hub's class need no more comparisons there.
-The others are compared, a bounded number a bucket and round, with every member of
-another class, until no bucket holds an uncompared pair of two classes. Two bounds
-spare comparisons and lose nothing: Jaccard distance is a metric, so a pair whose
-distances from the hub differ by more than the distance allowed is too far apart;
-and so is a pair whose sizes have too small a ratio. Pairs of a round grow with
-the members of the buckets, and classes come out as if every pair of every bucket
-had been compared.
+with all members, one pair a member. Where all are of the hub's class after that,
+the bucket is done. The members of the other buckets go through an exact
+set-similarity join: tokens in a global order, rarest first, and only pairs of two
+classes that share a token among their first n - ceil(t n) + 1, that fit in size
+and whose shared token stands early enough, are compared. Any pair at or above the
+threshold passes these filters, so classes come out as if every pair of every
+bucket had been compared, while members that are merely akin (a large group of
+texts just below the threshold) open with tokens of their own and meet nobody.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.components import connected_components
 from tidemark.llm.storage import Scratch
 
-#: Members of a bucket that one round compares with the bucket.
-HUBS = 64
 #: Shared buckets that may be broadcast to pick their members (16 bytes each); beyond, members are shuffled to them.
 BROADCAST_BUCKETS = 1_000_000
 
@@ -37,13 +35,15 @@ def _rooted(df: DataFrame, roots: DataFrame, node: str, out: str) -> DataFrame:
 
 
 def similar_classes(
-    members: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], compare: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch
+    members: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], compare: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch
 ) -> DataFrame:
     """(node, root) of the nodes in classes of two or more.
 
     ``members``: bucket, node, from a written table, for it is read twice. ``fetch`` gets the nodes that share a bucket, and how
     many they are, and gives (node, content, size); ``compare`` turns (a, b, x, y),
-    x and y being the contents, into (a, b, sim). Contents are fetched once.
+    x and y being the contents, into (a, b, sim); ``tokens`` turns contents into
+    (node, tokens), distinct longs, as many as the size, whose Jaccard similarity is
+    sim. Contents are fetched once.
     """
     sizes = scratch.put(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     few = sizes.count() <= BROADCAST_BUCKETS
@@ -65,33 +65,30 @@ def similar_classes(
     fits = F.least("size", "hub_size") >= near * F.greatest("size", "hub_size")
     compared = alike(spokes.where(fits).select(*_ordered("node", "hub")).distinct())
     roots = scratch.put(connected_components(compared.where(F.col("sim") >= near).select("a", "b"), scratch))
-    # Buckets with members outside their hub's class, and each member's distance from the hub (unknown for sizes that don't fit).
-    far = spokes.select("bucket", "node", "hub", "degree", "size", *_ordered("node", "hub")).join(compared, ["a", "b"], "left").select("bucket", "node", "hub", "degree", "size", (1 - F.col("sim")).alias("d"))
+    # Buckets with members outside their hub's class hold pairs of two classes that nothing has compared yet.
+    far = spokes.select("bucket", "node", "hub", "size")
     far = _rooted(_rooted(far, roots, "node", "root"), roots, "hub", "hub_root")
     mixed = far.where("root <> hub_root").groupBy("bucket").agg(F.count("*").alias("out"), F.lit(True).alias("mixed"))
     several = far.groupBy("bucket").agg(F.count("*").alias("n")).join(mixed, "bucket").where("n > 1")  # a bucket of two is done
-    open_ = scratch.put(far.join(several.select("bucket"), "bucket").select("bucket", "node", "hub", "degree", "size", "d", F.lit(False).alias("closed")))
-    while True:
-        now = _rooted(_rooted(open_, roots, "node", "root"), roots, "hub", "hub_root")
-        waiting = now.where("not closed and root <> hub_root")
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("degree"), "node"))
-        chosen = waiting.withColumn("__rank", rank).where(F.col("__rank") <= HUBS)
-        chosen = scratch.put(chosen.select("bucket", F.col("node").alias("probe"), F.col("d").alias("probe_d"), F.col("size").alias("probe_size"), F.col("root").alias("probe_root")))
-        if not chosen.count():
-            return roots
-        apart = F.coalesce(F.abs(F.col("d") - F.col("probe_d")) > 1 - near, F.lit(False))
-        fits = F.least("size", "probe_size") >= near * F.greatest("size", "probe_size")
-        # A pair met in several buckets is compared once; pairs of two probes meet from both sides.
-        pairs = now.join(chosen, "bucket").where((F.col("root") != F.col("probe_root")) & fits & ~apart).select(*_ordered("node", "probe")).distinct()
-        links = alike(pairs).where(F.col("sim") >= near)
-        closing = chosen.select("bucket", F.col("probe").alias("node"), F.lit(True).alias("shut"))
-        after = scratch.put(open_.join(closing, ["bucket", "node"], "left").withColumn("closed", F.col("closed") | F.coalesce("shut", F.lit(False))).drop("shut"))
-        scratch.drop(open_, chosen)
-        open_ = after
-        joined = _rooted(_rooted(links, roots, "a", "__ra"), roots, "b", "__rb").select(F.col("__ra").alias("a"), F.col("__rb").alias("b")).where("a <> b")
-        moved = scratch.put(connected_components(joined, scratch))
-        if moved.count():
-            step = moved.select(F.col("node").alias("root"), F.col("root").alias("__to"))
-            relabelled = roots.join(step, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
-            new = moved.join(roots.select("node"), "node", "left_anti")
-            roots = scratch.put(relabelled.unionByName(new).distinct())
+    left = far.join(several.select("bucket"), "bucket").select("node", "root", "size").distinct()
+    rows = scratch.put(left.join(tokens(contents), "node"))
+    each = rows.select("node", "root", "size", F.explode("tokens").alias("t"))
+    frequency = each.groupBy("t").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("node").orderBy("n", "t")
+    opening = each.join(frequency, "t").withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("size") - F.ceil(near * F.col("size")) + 1)
+    # A token that one class alone opens with gives no pair of two classes.
+    wanted = opening.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("t")
+    opening = scratch.put(opening.join(wanted, "t").select("t", "node", "root", "size", "i"))
+    one = opening.select("t", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"), F.col("i").alias("p_i"))
+    two = opening.select("t", F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("size").alias("q_size"), F.col("i").alias("q_i"))
+    fits = F.least("p_size", "q_size") >= near * F.greatest("p_size", "q_size")
+    # Position: what follows the shared token on the shorter side must be able to reach the overlap needed.
+    reach = F.least(F.col("p_size") - F.col("p_i"), F.col("q_size") - F.col("q_i")) + F.least("p_i", "q_i") >= near / (1 + near) * (F.col("p_size") + F.col("q_size"))
+    pairs = one.join(two, "t").where((F.col("p") < F.col("q")) & (F.col("p_root") != F.col("q_root")) & fits & reach).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+    links = alike(pairs).where(F.col("sim") >= near)
+    joined = _rooted(_rooted(links, roots, "a", "__ra"), roots, "b", "__rb").select(F.col("__ra").alias("a"), F.col("__rb").alias("b")).where("a <> b")
+    moved = scratch.put(connected_components(joined, scratch))
+    step = moved.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+    relabelled = roots.join(step, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+    new = moved.join(roots.select("node"), "node", "left_anti")
+    return scratch.put(relabelled.unionByName(new).distinct())
