@@ -98,6 +98,35 @@ def test_lines(odd, empty, spark):
     assert {(r.doc_id, r.line) for r in line_classes(near, threshold=0.7).where("kept").collect()} == {(1, 0), (2, 1)}
 
 
+def shingle_sets(lines, width=9):
+    return [{t[i : i + width] for i in range(max(1, len(t) - width + 1))} for t in lines]
+
+
+def brute_line_classes(lines, threshold=0.8):
+    sets, root = shingle_sets(lines), list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(lines)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in range(len(lines))}
+
+
+def test_lines_of_one_token_are_seen_to_their_end(spark):
+    lines = [
+        "https://www.example.org/one/path/of/its/own", "https://www.another.net/quite/a/different/page?x=1", "今天天气很好我们一起去公园散步看花吧然后回家", "今天天气很好我们一起在家里读书写字直到晚上", "andththwhes.", "andththwhwh.",
+        "short", "shorter", "0123456789abcdef0123456789abcdef0123456789abcdef", "0123456789abcdef0123456789abcdef0123456789abcdeX", "𝒳" * 3 + "abcdefgh", "𝒳" * 3 + "abcdefgz",
+    ]
+    got = {r.doc_id: r.class_doc_id for r in line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == brute_line_classes([x.lower() for x in lines]) and got[9] == 8
+    assert drop_repeated_lines(spark.createDataFrame([(1, "\n".join(lines[:8]))], "doc_id long, text string")).first().text == "\n".join(lines[:8])
+
+
 def test_contamination(spark, odd, empty):
     item = words(30, 9)
     docs = spark.createDataFrame(
