@@ -127,6 +127,20 @@ def test_lines_of_one_token_are_seen_to_their_end(spark):
     assert drop_repeated_lines(spark.createDataFrame([(1, "\n".join(lines[:8]))], "doc_id long, text string")).first().text == "\n".join(lines[:8])
 
 
+def test_short_lines_at_the_threshold_against_brute_force(spark):
+    # Each second line is the one before it without its last letter but one of five windows: similarity 0.8 exactly.
+    rng = np.random.default_rng(8)
+    lines = []
+    for _ in range(1500):
+        base = "".join(chr(97 + c) for c in rng.integers(0, 26, 13))
+        lines += [base, base[:12]]
+    sets = shingle_sets(lines)
+    assert all(len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) == 0.8 for i in range(0, len(lines), 2))
+    got = {r.doc_id: r.class_doc_id for r in line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    missed = sum(got[i + 1] != i for i in range(0, len(lines), 2))
+    assert missed <= 1 and all(got[i] == i for i in range(0, len(lines), 2))
+
+
 def test_contamination(spark, odd, empty):
     item = words(30, 9)
     docs = spark.createDataFrame(
