@@ -155,6 +155,14 @@ def test_contamination(spark, odd, empty):
     assert decontaminate(odd, tests).columns == odd.columns
 
 
+
+def test_short_items_are_never_missed(spark):
+    items = [(i, " ".join(words(4 + i % 4, 5000 + i))) for i in range(400)]
+    docs = [(i, " ".join([*words(20, 20_000 + i), items[i % 400][1], *words(20, 40_000 + i)])) for i in range(4000)]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in got.where("item_id = doc_id % 400").collect()} == set(range(4000))
+
+
 def test_shards(odd, empty):
     for shards in (1, 3, 24):
         rows = shard_by_bytes(odd, shards).collect()

@@ -7,8 +7,9 @@ both sides are partitioned by size: items of 2^c to 2^(c+1) shingles are searche
 in windows of 2^(c+2) shingles that overlap by half, so any place of an item lies
 inside one window. Signatures are one-permutation MinHashes of ``BINS`` bins; an
 item and a document are a candidate pair if a window has the same minimum in a
-bin as the item. A window at most four times an item, with more bins than items
-have shingles, makes a miss at containment 0.8 rarer than one in ten thousand.
+bin as the item. A window at most four times an item makes a miss at containment
+0.8 rarer than one in ten thousand for items of ``FEW`` shingles or more; shorter
+ones are candidates wherever one of their shingles is found, so none is missed.
 Every candidate is verified by exact shingle containment over the whole document.
 
 The items' signatures are broadcast in blocks of bounded size: a larger benchmark
@@ -26,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.llm.text import Words, blocks, shingles
 
 BINS = 64
+#: Items of fewer shingles are looked for by all of them, without bins. A power of two.
+FEW = 16
 #: Bytes of item texts in one broadcast block.
 ITEM_BLOCK_BYTES = 32 << 20
 
@@ -39,7 +42,8 @@ class ItemIndex:
         for i, (_, own) in enumerate(sets):
             size = int(len(own)).bit_length() - 1
             bins = own % np.uint64(BINS)
-            firsts = own[np.unique(bins, return_index=True)[1]]  # own is sorted: the first of a bin is its least
+            # own is sorted: the first of a bin is its least
+            firsts = own if len(own) < FEW else own[np.unique(bins, return_index=True)[1]]
             entries.setdefault(size, []).extend((int(h), i) for h in firsts)
         self.classes = []
         for size, pairs in sorted(entries.items()):
@@ -48,7 +52,7 @@ class ItemIndex:
             self.classes.append((2 << size, hashes, np.array([i for _, i in pairs])))
 
     def candidates(self, own: np.ndarray) -> set[int]:
-        """Items that share a bin's minimum with a window of the document's shingles."""
+        """Items that share a bin's minimum with a window of the document's shingles, or any shingle if they have few."""
         found: set[int] = set()
         for stride, hashes, items in self.classes:
             at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
@@ -59,6 +63,9 @@ class ItemIndex:
                 wanted = set(items[low:high].tolist()) - found
                 if not wanted:
                     continue
+                if stride <= FEW:
+                    found |= wanted
+                    continue
                 for w in (p // stride - 1, p // stride):
                     window = own[max(0, w * stride) : (w + 2) * stride]
                     rival = window[(window % np.uint64(BINS)) == own[p] % np.uint64(BINS)]
