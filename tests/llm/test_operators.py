@@ -314,3 +314,18 @@ def test_licenses(spark, odd, empty):
     for i, t in enumerate(texts):
         best = max(len(want & set(re.findall(r"[a-z]+", line))) / len(want) for line in t.split("\n"))
         assert found[i] == pytest.approx(best if best >= 0.6 else 0.0)
+
+
+def test_wrapped_licenses(spark):
+    mit = """# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, including without limitation the rights"""
+    bsd = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or"""
+    texts = [mit, bsd, gpl, "before\n\n" + bsd.replace(" forms,", "\n forms,") + "\nafter", "\n".join(re.findall(r"\w+", bsd)), "\n".join(reversed(re.findall(r"\w+", bsd))), "\r\n".join(bsd.split("\n"))]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("gpl", 1.0), 3: ("bsd", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0), 6: ("bsd", 1.0)}

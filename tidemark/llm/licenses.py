@@ -1,7 +1,10 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; a template meets it when at least ``threshold`` of
-the template's distinct words are among the block's words. Words are ordered by
+A block is a line of a text, or a window over line feeds of as many words as the
+template has; a template meets it when at least ``threshold`` of the template's
+distinct words are among the block's words, and in a window also as many of its
+words in the template's order, for wrapping keeps it. Windows begin at every word,
+so hard-wrapped licenses are found however they are wrapped. Words are ordered by
 how many texts of the whole corpus have them, rarest first. A template that must
 share ``a`` of its ``n`` words with a block shares one of its ``n - a + 1``
 rarest, so only blocks with such a word are looked at (prefix filter); a block
@@ -56,18 +59,32 @@ def _phrase_places(words: Words, phrase: np.ndarray) -> np.ndarray:
     return at[at + k <= words.first[row + 1]]
 
 
+def _in_order(x: list[int], y: list[int]) -> int:
+    """Length of the longest common subsequence."""
+    above = [0] * (len(y) + 1)
+    for a in x:
+        here = [0]
+        for j, b in enumerate(y):
+            here.append(above[j] + 1 if a == b else max(above[j + 1], here[j]))
+        above = here
+    return above[-1]
+
+
 class Scanner:
     """The templates, their words' global order, and the filters that follow from both."""
 
     def __init__(self, templates, phrases, threshold: float, frequency: dict[int, int] | None = None):
         self.phrases = [(_hash_words(p), label) for p, label in phrases]
-        sets = [(label, sorted({int(h) for h in _hash_words(text)})) for label, text in templates]
-        sets = [(label, words) for label, words in sets if words]
+        texts = [(label, [int(h) for h in _hash_words(text)]) for label, text in templates]
+        texts = [(label, words) for label, words in texts if words]
+        sets = [(label, sorted(set(words))) for label, words in texts]
         order = sorted({w for _, words in sets for w in words}, key=lambda w: ((frequency or {}).get(w, 0), w))
         rank = {w: i for i, w in enumerate(order)}
         self.vocabulary = np.array(sorted(order), dtype=np.uint64)
         self.rank = np.array([rank[int(w)] for w in self.vocabulary], dtype=np.int64)
         self.templates = []
+        #: Each template as it reads: the ranks of its words in order, and how many of them a window must have in that order.
+        self.readings = [([rank[w] for w in words], max(1, math.ceil(threshold * len(words) - 1e-9))) for _, words in texts]
         opening: dict[int, list[tuple[int, int]]] = {}
         for i, (label, words) in enumerate(sets):
             ranks = np.array(sorted(rank[w] for w in words))
@@ -107,6 +124,34 @@ class Scanner:
                     found[label] = max(found.get(label, 0.0), shared / len(own))
         return found
 
+    def wrapped(self, ranks: np.ndarray, line: np.ndarray, hits: np.ndarray, found: dict[str, float]) -> None:
+        """Add to ``found`` what windows over line feeds of one text meet; ``line`` is the line of each word, ``hits`` are its words that open templates."""
+        reach: dict[int, list[list[int]]] = {}
+        for h in hits.tolist():
+            for i, _ in self.opening[int(ranks[h])]:
+                n = len(self.readings[i][0])
+                low, high = max(0, h - n + 1), min(len(ranks), h + n)
+                if line[low] == line[high - 1]:
+                    continue
+                spans = reach.setdefault(i, [])
+                if spans and low <= spans[-1][1]:
+                    spans[-1][1] = high
+                else:
+                    spans.append([low, high])
+        for i, spans in reach.items():
+            label, own, need = self.templates[i]
+            reading, in_order = self.readings[i]
+            for low, high in spans:
+                at = low + np.flatnonzero(np.isin(ranks[low:high], own))
+                ends = np.searchsorted(at, at + len(reading))
+                for a, b in enumerate(ends.tolist()):
+                    if b - a < need or line[at[a]] == line[at[b - 1]]:
+                        continue
+                    window = ranks[at[a:b]].tolist()
+                    score = len(set(window)) / len(own)
+                    if len(set(window)) >= need and score > found.get(label, 0.0) and _in_order(reading, window) >= in_order:
+                        found[label] = score
+
     def scan(self, column: pa.Array) -> dict[str, list]:
         out: dict[str, list] = {k.split()[0]: [] for k in SCHEMA.split(", ")}
         for block in blocks(column):
@@ -133,6 +178,13 @@ class Scanner:
                         best = own.setdefault(row, {})
                         for label, x in found.items():
                             best[label] = max(best.get(label, 0.0), x)
+                for row in np.unique(np.searchsorted(words.first, hits, side="right") - 1).tolist():
+                    low, high = words.first[row], words.first[row + 1]
+                    mine = hits[slice(*np.searchsorted(hits, (low, high)))] - low
+                    found = own.get(row, {})
+                    self.wrapped(ranks[low:high], np.searchsorted(breaks, words.start[low:high], side="right"), mine, found)
+                    if found:
+                        own[row] = found
             out["n_words"] += words.counts().tolist()
             for row in range(n):
                 places, labels = base.get(row, ([], set()))
