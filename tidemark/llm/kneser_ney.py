@@ -1,8 +1,8 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney n-gram model.
 
-The model is over UTF-8 bytes: an n-gram of up to seven bytes is one exact integer,
-and the tables grow with the variety of the trusted text, not with a vocabulary of
-words. Counts come from all trusted texts; continuation counts, discounts and
+The model is over UTF-8 bytes, with n-grams of ``ORDER`` bytes (five; up to seven fit
+one exact integer). That is about one short word of context: words in junk order
+mostly pass, and the tables hardly grow with the input (figures in the README). Counts come from all trusted texts; continuation counts, discounts and
 interpolated probabilities are aggregates and joins of count tables. For scoring,
 the tables are cut by the last two context bytes into shards of bounded size; each
 shard is broadcast in turn and adds its positions' log probabilities to the texts.
