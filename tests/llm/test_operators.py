@@ -141,6 +141,20 @@ def test_short_lines_at_the_threshold_against_brute_force(spark):
     assert missed <= 1 and all(got[i] == i for i in range(0, len(lines), 2))
 
 
+
+def test_rows_without_an_id_lose_only_their_own_lines(spark):
+    rows = [(None, "a line that stands elsewhere too"), (None, "first of its kind, a long line\na line that stands elsewhere too"), (None, "another beginning altogether\nand a second line nobody repeats"), (2, "x y z and so on\nq"), (2, "a line that stands elsewhere too\nw")]
+    out = sorted((r.doc_id or 0, r.text) for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(0, rows[0][1]), (0, "another beginning altogether\nand a second line nobody repeats"), (0, "first of its kind, a long line"), (2, "w"), (2, "x y z and so on\nq")]
+
+
+def test_near_duplicates_without_an_id_or_with_several_texts(spark):
+    a, b, c = words(90, 71), words(90, 72), words(90, 73)
+    rows = [(None, " ".join(a)), (7, " ".join([*a, "end"])), (None, " ".join(b)), (None, " ".join([*b, "end"])), (None, " ".join(words(90, 74))), (3, " ".join(c)), (3, " ".join(words(90, 75))), (3, "other words only"), (9, " ".join([*c, "end"]))]
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 1), (0, 0, 2), (0, 0, 2), (0, 7, 2), (3, 3, 1), (3, 3, 1), (3, 3, 2), (7, 7, 2), (9, 3, 2)]
+
+
 def test_contamination(spark, odd, empty):
     item = words(30, 9)
     docs = spark.createDataFrame(
