@@ -45,13 +45,21 @@ def to_number(x: Column) -> Column:
 
 
 def row_hash(columns: list[str]) -> Column:
-    """32 hex digits of a row: every value as double or text, nulls told from values, order fixed."""
-    return F.md5(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns)))
+    """32 hex digits of a row: every value as text with its length before it, nulls told from values, order fixed.
+
+    The lengths keep rows apart whose values hold the separator.
+    """
+    return F.md5(F.concat_ws("|", *_parts(columns)))
+
+
+def _parts(columns: list[str]) -> list[Column]:
+    texts = [F.col(c).cast("string") for c in columns]
+    return [F.coalesce(F.concat(F.lit("v"), F.char_length(x).cast("string"), F.lit(":"), x), F.lit("n")) for x in texts]
 
 
 def row_hash_128(columns: list[str]) -> Column:
     """The same from two seeded 64-bit hashes: cheaper, for Spark alone."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]
+    parts = _parts(columns)
     return F.lower(F.concat(F.lpad(F.hex(F.xxhash64(F.lit(1), *parts)), 16, "0"), F.lpad(F.hex(F.xxhash64(F.lit(2), *parts)), 16, "0")))
 
 

@@ -46,24 +46,24 @@ def head_sample(rows: DataFrame, group: str, order: list[str], per_group: int, t
 def split_objective(groups: DataFrame, assignment: DataFrame, ratios: dict[str, float]) -> DataFrame:
     """One row: the squared relative distance of each split's benign, attack and total rows from their targets.
 
-    1000 is added for a class that a split lacks, and for a split without groups.
+    1000 is added once for a split that lacks either class, and again for one without groups.
     """
     totals = groups.agg(F.sum("benign").alias("tb"), F.sum("attack").alias("ta"))
-    got = groups.join(F.broadcast(assignment), "group_id").groupBy("split").agg(F.sum("benign").alias("b"), F.sum("attack").alias("a"), F.count("*").alias("g"))
+    got = groups.join(assignment, "group_id").groupBy("split").agg(F.sum("benign").alias("b"), F.sum("attack").alias("a"), F.count("*").alias("g"))
     splits = groups.sparkSession.createDataFrame(list(ratios.items()), "split string, ratio double")
     scored = splits.join(got, "split", "left").na.fill(0, ["b", "a", "g"]).crossJoin(F.broadcast(totals))
     term = lambda x, t: F.pow((x - t) / F.greatest(F.lit(1.0), t), 2)
     tb, ta = F.col("ratio") * F.col("tb"), F.col("ratio") * F.col("ta")
-    penalty = F.when(F.col("b") == 0, 1000).otherwise(0) + F.when(F.col("a") == 0, 1000).otherwise(0) + F.when(F.col("g") == 0, 1000).otherwise(0)
+    penalty = F.when((F.col("b") == 0) | (F.col("a") == 0), 1000).otherwise(0) + F.when(F.col("g") == 0, 1000).otherwise(0)
     return scored.agg(F.sum(term(F.col("b"), tb) + term(F.col("a"), ta) + term(F.col("b") + F.col("a"), tb + ta) + penalty).alias("objective"))
 
 
 def exhaustive_split(groups: DataFrame, ratios: tuple[float, float, float], least_benign: int = 1, least_attack: int = 1) -> DataFrame:
-    """The best of all 3^G assignments of at most 12 groups to train, validation and test.
+    """The best of all 3^G assignments of groups to train, validation and test; more than 12 groups are an error.
 
     Assignments are numbered in base 3 and scored as rows; the least objective wins, ties to the smaller number.
     """
-    items = groups.agg(F.array_sort(F.collect_list(F.struct("group_id", "benign", "attack"))).alias("g")).withColumn("n", F.size("g"))
+    items = groups.agg(F.array_sort(F.collect_list(F.struct("group_id", "benign", "attack"))).alias("g")).withColumn("n", F.expr("if(size(g) > 12, raise_error('exhaustive search is for at most 12 groups'), size(g))"))
     each = items.select("g", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(3.0), F.col("n")).cast("long") - 1)).alias("code"))
     placed = each.select("code", F.posexplode("g").alias("i", "x")).select("code", "x.*", (F.floor(F.col("code") / F.pow(F.lit(3.0), F.col("i"))).cast("long") % 3).cast("int").alias("split"))
     sums = placed.groupBy("code").agg(*(F.sum(F.when(F.col("split") == s, F.col(c)).otherwise(0)).alias(f"{c}{s}") for s in range(3) for c in ("benign", "attack")))
@@ -76,7 +76,11 @@ def exhaustive_split(groups: DataFrame, ratios: tuple[float, float, float], leas
 
 
 def greedy_split(stats: list[tuple[str, int, int]], ratios: dict[str, float], starts: int = 2000, seed: int = 0) -> dict[str, str]:
-    """Group-disjoint splits for tens of groups: randomised greedy starts, largest first, least objective. Driver-side."""
+    """Group-disjoint splits for tens of groups: greedy from the largest group down, groups of one size in random order.
+
+    At least ``starts`` (and 200 a group) orders are tried and the least objective wins; equally good splits go by
+    the order of ``ratios``. Driver-side.
+    """
     import random
 
     draw = random.Random(seed)
@@ -89,21 +93,21 @@ def greedy_split(stats: list[tuple[str, int, int]], ratios: dict[str, float], st
             x, y, g = have[k]
             for got, want in ((x, b), (y, a), (x + y, a + b)):
                 total += ((got - want) / max(1.0, want)) ** 2
-            total += 1000.0 * ((x == 0) + (y == 0) + (g == 0))
+            total += 1000.0 * ((x == 0 or y == 0) + (g == 0))
         return total
 
     best, best_cost = {}, float("inf")
-    for _ in range(starts):
-        order = sorted(stats, key=lambda s: (-(s[1] + s[2]) * draw.uniform(0.8, 1.2), s[0]))
+    for _ in range(max(starts, 200 * len(stats))):
+        order = sorted(sorted(stats), key=lambda s: (-(s[1] + s[2]), draw.random()))
         have = {k: [0.0, 0.0, 0] for k in targets}
         chosen = {}
         for name, b, a in order:
             options = []
-            for k in targets:
+            for place, k in enumerate(targets):
                 have[k][0] += b
                 have[k][1] += a
                 have[k][2] += 1
-                options.append((cost(have), draw.random(), k))
+                options.append((cost(have), place, k))
                 have[k][0] -= b
                 have[k][1] -= a
                 have[k][2] -= 1

@@ -33,7 +33,7 @@ def bytes_to_target(rounds: DataFrame, keys: list[str], reference: DataFrame, re
     long = rounds.unpivot([*keys, order, "cum_bytes"], endpoints, "endpoint", "value")
     finals = final_values(reference, reference_keys, endpoints, order).unpivot(reference_keys, endpoints, "endpoint", "final")
     wanted = finals.crossJoin(F.broadcast(rounds.sparkSession.createDataFrame([(f,) for f in fractions], "fraction double"))).withColumn("target", F.col("fraction") * F.col("final"))
-    joined = long.join(F.broadcast(wanted), [*reference_keys, "endpoint"])
+    joined = long.join(wanted, [*reference_keys, "endpoint"])
     hit = F.when(F.col("value") >= F.col("target"), F.col(order))
     return joined.groupBy(*keys, "endpoint", "fraction", "target").agg(
         F.max(F.col("value") >= F.col("target")).alias("reached"), F.min(hit).alias("round"), F.min_by("cum_bytes", hit).alias("bytes")

@@ -70,7 +70,7 @@ def threshold_grid(predictions: DataFrame, cell: str = "cell_id") -> DataFrame:
     suffix = Window.partitionBy(cell).orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = full.withColumns({"tp": F.sum("pos").over(suffix), "fp": F.sum("neg").over(suffix)})
     held = held.withColumns({"fn": F.col("n1") - F.col("tp"), "tn": F.col("n0") - F.col("fp")}).drop("pos", "neg", "n1", "n0", "step")
-    return held.withColumns(metric_columns(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))).join(F.broadcast(aucs(predictions, cell)), cell)
+    return held.withColumns(metric_columns(*(F.col(c) for c in ("tp", "fp", "fn", "tn")))).join(aucs(predictions, cell), cell)
 
 
 def choose_threshold(grid: DataFrame, most_fpr: float = 0.05, cell: str = "cell_id") -> DataFrame:

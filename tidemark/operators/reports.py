@@ -13,7 +13,7 @@ def versus_full(rows: DataFrame, keys: list[str], values: list[str], cost: str,
     """Means per (keys, method, beta) beside the Full method's, and the cost reduction in percent."""
     own = rows.where(F.col(method) != full).groupBy(*keys, method, "beta").agg(*(F.avg(v).alias(v) for v in [*values, cost]))
     base = rows.where(F.col(method) == full).groupBy(*keys).agg(*(F.avg(v).alias(f"full_{v}") for v in [*values, cost]))
-    return own.join(F.broadcast(base), keys).withColumn("reduction_pct", 100 * (1 - F.col(cost) / F.col(f"full_{cost}")))
+    return own.join(base, keys).withColumn("reduction_pct", 100 * (1 - F.col(cost) / F.col(f"full_{cost}")))
 
 
 def gate_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def ecdf(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def versus_baseline(rows: DataFrame, keys: list[str], condition: str, values: list[str], prefix: str) -> DataFrame:
     """Left self-join to the rows of a baseline condition on the keys; differences as ``<prefix>_<value>``."""
     base = rows.where(condition).select(*keys, *(F.col(v).alias(f"__{v}") for v in values))
-    joined = rows.join(F.broadcast(base), keys, "left")
+    joined = rows.join(base, keys, "left")
     return joined.withColumns({f"{prefix}_{v}": F.col(v) - F.col(f"__{v}") for v in values}).drop(*(f"__{v}" for v in values))
 
 
@@ -59,4 +59,4 @@ def mean_of_ratios(rows: DataFrame, cell: str, round_: str, part: str, flag: str
 def to_target_versus_full(targets: DataFrame, keys: list[str], full: str = "Full-Contextual") -> DataFrame:
     own = targets.groupBy(*keys, "method").agg(F.avg(F.col("reached").cast("int")).alias("reached_share"), F.avg(F.when(F.col("reached"), F.col("bytes"))).alias("mean_bytes"))
     base = own.where(F.col("method") == full).select(*keys, F.col("mean_bytes").alias("full_bytes"))
-    return own.where(F.col("method") != full).join(F.broadcast(base), keys, "left").withColumn("ratio", F.col("mean_bytes") / F.col("full_bytes"))
+    return own.where(F.col("method") != full).join(base, keys, "left").withColumn("ratio", F.col("mean_bytes") / F.col("full_bytes"))

@@ -16,9 +16,9 @@ def paired_deltas(metrics: DataFrame, method: str, comparator: str, keys: list[s
     ours = metrics.where(F.col("method") == method).withColumn("__b", canonical_beta(F.col("beta")))
     theirs = metrics.where(F.col("method") == comparator).withColumn("__b", canonical_beta(F.col("beta"))).select(*keys, "__b", *(F.col(v).alias(f"__{v}") for v in values))
     if comparator == full:
-        joined = ours.join(F.broadcast(theirs.drop("__b")), keys)
+        joined = ours.join(theirs.drop("__b"), keys)
     else:
-        joined = ours.join(F.broadcast(theirs), [*keys, "__b"])
+        joined = ours.join(theirs, [*keys, "__b"])
     return joined.select(*keys, "beta", *((F.col(v) - F.col(f"__{v}")).alias(f"d_{v}") for v in values))
 
 
@@ -37,10 +37,13 @@ def bootstrap_bounds(rows: DataFrame, keys: list[str], value: str, order: str, r
 
 
 def sign_flip(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
-    """(keys, raw_p): the share of all 2^n sign patterns with a mean at least the observed one (n at most 20)."""
+    """(keys, raw_p): the share of all 2^n sign patterns with a mean at least the observed one.
+
+    Patterns are rows, so more than 20 values in a group are an error.
+    """
     held = rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v")).withColumn("n", F.size("v"))
     observed = held.withColumn("o", F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    each = observed.select(*keys, "v", "n", "o", F.explode(F.expr("sequence(0, shiftleft(1, least(n, 20)) - 1)")).alias("mask"))
+    each = observed.select(*keys, "v", "n", "o", F.explode(F.expr("sequence(0, shiftleft(1, if(n > 20, raise_error('exact sign flips are for at most 20 values'), n)) - 1)")).alias("mask"))
     flipped = F.expr("aggregate(transform(v, (x, i) -> if((shiftright(mask, i) & 1) = 1, x, -x)), 0.0D, (s, x) -> s + x) / n")
     return each.groupBy(*keys).agg((F.count_if(flipped >= F.col("o") - 1e-15) / F.count("*")).alias("raw_p"))
 

@@ -137,7 +137,7 @@ def _score_sql(r: str) -> str:
 query(
     "split_objective",
     f"""WITH g AS ({_GROUPS}), t AS (SELECT sum(benign) AS tb, sum(attack) AS ta FROM g), s AS (SELECT CASE WHEN CAST(group_id AS INT) % 7 = 0 THEN 'test' WHEN CAST(group_id AS INT) % 7 = 1 THEN 'validation' ELSE 'train' END AS split, sum(benign) AS b, sum(attack) AS a, count(*) AS n FROM g GROUP BY 1)
-SELECT {r6('sum(pow((b) - ratio * tb, 2) / pow(greatest(1, ratio * tb), 2) + pow((a) - ratio * ta, 2) / pow(greatest(1, ratio * ta), 2) + pow((b + a) - ratio * (tb + ta), 2) / pow(greatest(1, ratio * (tb + ta)), 2) + CASE WHEN b = 0 THEN 1000 ELSE 0 END + CASE WHEN a = 0 THEN 1000 ELSE 0 END + CASE WHEN n = 0 THEN 1000 ELSE 0 END)', 'objective')}
+SELECT {r6('sum(pow((b) - ratio * tb, 2) / pow(greatest(1, ratio * tb), 2) + pow((a) - ratio * ta, 2) / pow(greatest(1, ratio * ta), 2) + pow((b + a) - ratio * (tb + ta), 2) / pow(greatest(1, ratio * (tb + ta)), 2) + CASE WHEN b = 0 OR a = 0 THEN 1000 ELSE 0 END + CASE WHEN n = 0 THEN 1000 ELSE 0 END)', 'objective')}
 FROM (SELECT r.split, ratio, coalesce(b, 0) AS b, coalesce(a, 0) AS a, coalesce(n, 0) AS n, CAST(tb AS DOUBLE) AS tb, CAST(ta AS DOUBLE) AS ta FROM (VALUES ('train', 0.7::DOUBLE), ('validation', 0.15::DOUBLE), ('test', 0.15::DOUBLE)) r(split, ratio) LEFT JOIN s ON r.split = s.split, t)""",
 )(
     lambda spark, sf: cohort.split_objective(

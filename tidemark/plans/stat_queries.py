@@ -16,8 +16,8 @@ def _delta_sql(comparator: str) -> str:
     return f"SELECT a.dataset AS dataset, a.seed AS seed, a.beta AS beta, a.f1 - b.f1 AS d_f1, a.pr_auc - b.pr_auc AS d_pr_auc, a.fpr - b.fpr AS d_fpr FROM ({METRICS}) a JOIN ({METRICS}) b ON a.dataset = b.dataset AND a.seed = b.seed{on} WHERE a.method = 'CB-Score' AND b.method = '{comparator}'"
 
 
-def _deltas(spark, sf, comparator):
-    return stats.paired_deltas(metrics(spark, sf), "CB-Score", comparator, ["dataset", "seed"], VALUES)
+def _deltas(spark, sf, comparator, alarm=80):
+    return stats.paired_deltas(metrics(spark, sf, alarm), "CB-Score", comparator, ["dataset", "seed"], VALUES)
 
 
 for _name, _comparator in (("full", "Full-Contextual"), ("random", "Random-Budget")):
@@ -33,10 +33,10 @@ _KEYS = ["comparator", "dataset", "beta", "endpoint", "noninferiority"]
 _K = ", ".join(_KEYS)
 
 
-def _long(spark, sf):
+def _long(spark, sf, alarm=80):
     out = None
     for name, c in (("full", "Full-Contextual"), ("random", "Random-Budget")):
-        own = _deltas(spark, sf, c).unpivot(["dataset", "beta", "seed"], [f"d_{v}" for v in VALUES], "endpoint", "delta").withColumn("endpoint", F.substring("endpoint", 3, 10))
+        own = _deltas(spark, sf, c, alarm).unpivot(["dataset", "beta", "seed"], [f"d_{v}" for v in VALUES], "endpoint", "delta").withColumn("endpoint", F.substring("endpoint", 3, 10))
         own = own.withColumns({"comparator": F.lit(name), "noninferiority": F.lit(name == "full") & (F.col("endpoint") != "fpr")})
         out = own if out is None else out.unionByName(own)
     return out
@@ -54,7 +54,7 @@ _FLIP = f"""SELECT {_K}, CAST(count(*) FILTER (WHERE s / n >= o - 1e-15) AS DOUB
  FROM (SELECT *, unnest(range(0, 1 << CAST(n AS INT))) AS mask FROM ({_V}))) GROUP BY {_K}"""
 query("exact_sign_flip", f"SELECT {_K}, {r6('raw_p', 'raw_p')} FROM ({_FLIP})")(lambda spark, sf: stats.sign_flip(_shifted(spark, sf), _KEYS, "z", "seed"))
 
-_B = 200
+_B = 2000
 _DRAW = draw("'bootstrap'", "CAST(b AS VARCHAR)", "CAST(j AS VARCHAR)")
 _BOOT = f"""SELECT {_K}, quantile_cont(m, 0.025) AS two_sided_low, quantile_cont(m, 0.975) AS two_sided_high, quantile_cont(m, 0.05) AS one_sided_lower_95, quantile_cont(m, 0.95) AS one_sided_upper_95 FROM
  (SELECT {_K}, b, sum(v[CAST({_DRAW} % n AS INT) + 1]) / any_value(n) AS m FROM (SELECT *, unnest(range(1, n + 1)) AS j FROM (SELECT *, unnest(range(1, {_B} + 1)) AS b FROM ({_V}))) GROUP BY {_K}, b) GROUP BY {_K}"""
@@ -186,7 +186,7 @@ def _attack(spark, sf):
 
 query("attribute_inference_auc")(_attack)
 
-_GB = 100
+_GB = 2000
 _GB_DRAW = draw("'auc'", "CAST(b AS VARCHAR)", "CAST(j AS VARCHAR)")
 query(
     "group_bootstrap_auc",
@@ -229,9 +229,9 @@ query("serialized_sizes")(lambda spark, sf: vectors.serialized_sizes(read(spark,
 
 
 def _kept(spark, sf):
-    old = _vectors(spark, sf).groupBy("client").agg(F.first(F.array_repeat(F.lit(1.0), 4)).alias("vector"))
-    mean = vectors.weighted_mean(_vectors(spark, sf).where("client < 5").withColumn("v", F.slice("v", 1, 4)), ["client"], "v", "w")
+    old = _vectors(spark, sf).groupBy("client").agg(F.first(F.transform("v", lambda _: F.lit(1.0))).alias("vector"))
+    mean = vectors.weighted_mean(_vectors(spark, sf).where("client < 5"), ["client"], "v", "w")
     return vectors.apply_or_keep(old, mean, ["client"]).select("client", F.posexplode("vector").alias("i", "x"))
 
 
-query("empty_selection_keeps_model", f"SELECT CAST(c.client AS BIGINT) AS client, CAST(i - 1 AS BIGINT) AS i, {r6('1.0 + coalesce(m, 0)', 'x')} FROM (SELECT DISTINCT client, unnest(range(1, 5)) AS i FROM ({_VEC})) c LEFT JOIN (SELECT client, i, m FROM ({_MEAN.format(_VEC)}) WHERE client < 5) USING (client, i)")(_kept)
+query("empty_selection_keeps_model", f"SELECT CAST(c.client AS BIGINT) AS client, CAST(i - 1 AS BIGINT) AS i, {r6('1.0 + coalesce(m, 0)', 'x')} FROM (SELECT DISTINCT client, unnest(range(1, len(v) + 1)) AS i FROM ({_VEC})) c LEFT JOIN (SELECT client, i, m FROM ({_MEAN.format(_VEC)}) WHERE client < 5) USING (client, i)")(_kept)

@@ -26,6 +26,25 @@ def read_csv(spark: SparkSession, paths, schema=None, encoding: str = "UTF-8", n
     return named.withColumn("source_file", F.expr("_metadata.file_path")) if "_metadata" not in named.columns and not schema else named.withColumn("source_file", F.input_file_name())
 
 
+def undecodable(spark: SparkSession, paths) -> list[str]:
+    """The files of a text tree that aren't valid UTF-8 (their names alone come to the driver)."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(F.input_file_name().alias("path"), F.is_valid_utf8("value").alias("valid"))
+    return [r["path"] for r in lines.where("not valid").select("path").distinct().collect()]
+
+
+def read_csv_any(spark: SparkSession, paths, schema: str, null_value: str = "NA") -> DataFrame:
+    """``read_csv`` in UTF-8, but files that aren't valid UTF-8 in Latin-1, which decodes every byte.
+
+    The schema is needed, for the two groups of files are one table.
+    """
+    odd = undecodable(spark, paths)
+    every = [r["path"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path").collect()]
+    tail = {x.split(":", 1)[-1].lstrip("/") for x in odd}
+    plain, latin = ([x for x in every if (x.split(":", 1)[-1].lstrip("/") in tail) is side] for side in (False, True))
+    parts = [read_csv(spark, files, schema, encoding, null_value) for files, encoding in ((plain, "UTF-8"), (latin, "ISO-8859-1")) if files]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def with_source(df: DataFrame, path: str, depth: int = 2, benign: list[str] | None = None, out: str = "source_class") -> DataFrame:
     """The folder ``depth`` levels up of a path column as the row's source class, 'benign' if a token stands in it."""
     folder = F.element_at(F.split(F.col(path), "/"), -depth)
