@@ -38,9 +38,10 @@ _FOLD = {ord(k): v for k, v in (HOMOGLYPHS | SUBSTITUTES).items()} | {0xAD: None
 _FOLD |= {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: SUBSTITUTES.get(str(i), str(i)) for i in range(10)}
 _INNER = re.compile(r"(?<=[^\W\d_])[$!|]+(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
+#: The rest of a word, and the word after it.
+_NEXT = re.compile(r"[^\W_]* [^\W_]+")
 
 STEM = (4, 5, 6)
-LEXICON_MOST = 4000
 SAMPLE_ROWS = 20_000
 
 
@@ -119,7 +120,7 @@ def _terms(texts: DataFrame) -> DataFrame:
         for batch in batches:
             total: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = {w for w in _WORD.findall(fold(text or "")) if len(w) <= 40}
+                words = set(_WORD.findall(fold(text or "")))
                 for w in words:
                     total[w, False][toxic] += 1
                 for stem in {w[:k] for w in words for k in STEM if len(w) > k}:
@@ -132,6 +133,13 @@ def _terms(texts: DataFrame) -> DataFrame:
     return counted.groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
+def _word_start(text: str, end: int) -> int:
+    """Where the word that ends before ``end`` begins."""
+    while end and text[end - 1].isalnum():
+        end -= 1
+    return end
+
+
 def _contexts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     """(phrase, clean, toxic): two-word phrases around lexicon words."""
 
@@ -142,10 +150,10 @@ def _contexts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
                 folded = fold(text or "")
                 own = set()
                 for s, e, _ in lexicon.hits(folded):
-                    if m := re.search(r"[^\W_]+ $", folded[max(0, s - 60) : s]):
-                        own.add(m[0] + folded[s:e])
-                    if m := re.match(r"[^\W_]* [^\W_]+", folded[e : e + 60]):
-                        own.add(folded[s:e] + m[0])
+                    if s > 1 and folded[s - 1] == " " and folded[s - 2].isalnum():
+                        own.add(folded[_word_start(folded, s - 1) : e])
+                    if m := _NEXT.match(folded, e):
+                        own.add(folded[s : m.end()])
                 for phrase in own:
                     total[phrase][toxic] += 1
             yield pa.RecordBatch.from_pydict({"phrase": pa.array(list(total), type=pa.string()), "clean": pa.array([v[0] for v in total.values()], type=pa.int64()), "toxic": pa.array([v[1] for v in total.values()], type=pa.int64())})
@@ -172,13 +180,14 @@ def fit_lexicon(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, support: in
     """Learn a lexicon from (text, toxic) rows.
 
     ``labelled`` needs columns ``text`` and ``toxic`` (0 or 1; nulls left out).
-    Equal texts count once. About ``sample_rows`` rows are used, chosen by a hash
-    of the text: a documented bound, as is the lexicon's size.
+    Equal texts count once, as toxic if any of their labels says so. About
+    ``sample_rows`` rows are used, chosen by a hash of the text: a documented bound,
+    which also bounds the lexicon; every term that meets the thresholds is in it.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).where("text is not null and toxic in (0, 1)")
     scratch = Scratch(spark)
-    rows = rows.withColumn("__h", F.xxhash64("text")).dropDuplicates(["__h"])
+    rows = rows.groupBy(F.xxhash64("text").alias("__h")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     kept = scratch.put(rows)
     n = kept.count()
     kept = kept.where(F.pmod("__h", F.lit(1_000_003)) <= int(1_000_003 * min(1.0, sample_rows / max(n, 1)))).select("text", "toxic")
@@ -186,7 +195,7 @@ def fit_lexicon(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, support: in
     n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
     weight = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     terms = _terms(kept).where(F.col("toxic") >= support).withColumn("weight", weight).where(F.col("weight") >= least)
-    rows_ = sorted(terms.orderBy(F.desc("toxic"), F.desc("weight"), "term", "stem").limit(LEXICON_MOST).collect(), key=lambda r: (not r["stem"], len(r["term"]), r["term"]))
+    rows_ = sorted(terms.collect(), key=lambda r: (not r["stem"], len(r["term"]), r["term"]))
     stems: dict[str, float] = {}
     words: dict[str, float] = {}
     for r in rows_:
@@ -199,8 +208,8 @@ def fit_lexicon(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, support: in
             stems[term] = min(r["weight"], 8.0)
     lexicon = Lexicon(words, stems)
     if n_toxic and n_clean:
-        phrases = _contexts(kept, lexicon).where((F.col("clean") >= exception_support) & (F.col("toxic") == 0)).orderBy(F.desc("clean"), "phrase").limit(LEXICON_MOST)
-        lexicon = Lexicon(words, stems, [r["phrase"] for r in phrases.collect()])
+        phrases = _contexts(kept, lexicon).where((F.col("clean") >= exception_support) & (F.col("toxic") == 0))
+        lexicon = Lexicon(words, stems, sorted(r["phrase"] for r in phrases.collect()))
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
