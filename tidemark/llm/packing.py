@@ -32,7 +32,8 @@ CAPACITY = 2048
 PACKED = 40_000
 #: Distinct pre-tokens that a worker remembers.
 REMEMBERED = 1 << 20
-ROUNDS = 6
+#: Deals in a row that may save nothing before the packing is left as it is.
+STALLS = 3
 
 
 def rank_encoder(path: str):
@@ -143,13 +144,16 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return source.mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """Bins that any packing needs, by dual feasible functions.
+def _sequences(packed: DataFrame) -> int:
+    return packed.select("sequence_id").distinct().count()
+
+
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """Bins that any packing needs, by dual feasible functions; ``counts``: how many pieces there are of each length.
 
     f_a (0 <= a <= C/2): C above C - a, 0 below a, else the size; and u_k: the size
     where size * (k + 1) is a multiple of C, else floor(size * (k + 1) / C) / k of C.
     """
-    counts = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
     sizes = np.arange(capacity + 1, dtype=np.int64)
     number, total = np.cumsum(counts), np.cumsum(counts * sizes)
     best = 0
@@ -192,8 +196,11 @@ def _pack_parts(pool: DataFrame, parts: int, round_: int, capacity: int) -> Data
         where, offset, used = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(where, weights=lengths, minlength=used).astype(np.int64)
         part = int(frame["part"].iloc[0])
-        gap = used > lower_bound(lengths, capacity)
-        open_ = fill < capacity if gap else np.arange(used) == np.argmin(fill)
+        # A certified part only gives the room it can't close by itself: its emptiest bins, one in eight. Others give all that aren't full.
+        gap = used > lower_bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity)
+        open_ = fill < capacity
+        if not gap:
+            open_ = np.argsort(np.argsort(fill, kind="stable"), kind="stable") < -(-used // 8)
         return pd.DataFrame({"uid": frame["uid"], "length": lengths, "sequence_id": (round_ << 56) + (part << 24) + where, "offset": offset, "open": open_[where] & (fill < capacity)[where]})
 
     dealt = pool.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(parts)).alias("part"))
@@ -210,26 +217,33 @@ def pack_sequences(documents: DataFrame, tokenizer_path: str, capacity: int = CA
     scratch = Scratch(documents.sparkSession)
     cut = scratch.put(pieces(documents, tokenizer_path, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
     pool = cut.where(F.col("length") < capacity).select("uid", "length")
-    n, settled, packed, before = pool.count(), [], None, None
-    for round_ in range(ROUNDS):
-        parts = max(1, -(-n // PACKED))
-        candidate = scratch.put(_pack_parts(pool, parts, round_, capacity))
-        used = candidate.agg(F.count_distinct("sequence_id")).first()[0]
-        if before is not None and used >= before:  # the exchange saved nothing: the bins stay as they were
-            settled.append(packed.where("open"))
-            packed = None
-            break
-        packed = candidate
-        if parts == 1 or round_ == ROUNDS - 1:
-            break
-        settled.append(packed.where("not open"))
-        pool = packed.where("open").select("uid", "length")
-        n, before = pool.count(), packed.where("open").agg(F.count_distinct("sequence_id")).first()[0]
+    histogram = pool.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # at most one row a length
+    bound = lower_bound(np.bincount(histogram["length"], weights=histogram["n"], minlength=capacity + 1).astype(np.int64), capacity)
+    n, round_, stalls = int(histogram["n"].sum()), 0, 0
+    parts = max(1, -(-n // PACKED))
+    settled, closed = [], 0
+    packed = scratch.put(_pack_parts(pool, parts, round_, capacity))
+    used = _sequences(packed)
+    # Until the bound certifies the whole, or several deals in a row save nothing.
+    while parts > 1 and closed + used > bound and stalls < STALLS:
+        still = packed.where("open")
+        waiting = _sequences(still)
+        pool = scratch.put(still.select("uid", "length"))
+        n, round_ = pool.count(), round_ + 1
         if not n:
-            packed = None
             break
-    if packed is not None:
-        settled.append(packed)
+        again = scratch.put(_pack_parts(pool, max(1, -(-n // PACKED)), round_, capacity))
+        needs = _sequences(again)
+        if needs >= waiting:
+            stalls += 1
+            if n <= PACKED:  # one task had them all: another deal is the same
+                break
+            continue
+        stalls = 0
+        settled.append(packed.where("not open"))
+        closed, used, packed = closed + used - waiting, needs, again
+        parts = max(1, -(-n // PACKED))
+    settled.append(packed)
     placed = settled[0]
     for more in settled[1:]:
         placed = placed.unionByName(more)
