@@ -4,8 +4,7 @@ Rows with equal texts form an indivisible group. Groups are packed by size,
 largest first, each into the bin with the least remaining room that still holds
 it, found in a balanced tree. Only a histogram (group size, how many groups) goes
 to the driver: groups of one size are interchangeable, so a run of them is placed
-bin by bin. Sizes over 64 KiB are rounded up to one part in 1024, which bounds
-the histogram at about 65,536 + 1024 rows per doubling, whatever the corpus.
+bin by bin.
 """
 
 from __future__ import annotations
@@ -14,8 +13,10 @@ from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-EXACT = 1 << 16
-STEPS = 1024
+from tidemark.llm.storage import Scratch
+
+#: Distinct sizes whose places may be broadcast (some 100 bytes each).
+BROADCAST_SIZES = 100_000
 #: Groups of one size, and rows of one shard, that one task may rank.
 RANKED = 100_000
 
@@ -117,19 +118,12 @@ def near_equal_shards(histogram: list[tuple[int, int]], shards: int):
     return alone + [(size, first + shift[size], where + shards - left, n) for size, first, where, n in runs]
 
 
-def _size_class(size):
-    """The size, rounded up to one part in 1024 above 64 KiB."""
-    step = F.expr(f"shiftleft(1L, cast(greatest(floor(log2(greatest(__bytes, 1))) - 10, 0) as int))")
-    return F.when(size <= EXACT, size).otherwise(F.ceil(size / step) * step)
-
-
 def shard_by_bytes(documents: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8) -> DataFrame:
     """Every row with its shard and its place there: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Size: UTF-8 bytes of the text (null: none) plus ``overhead``; null texts have a
     null checksum and form one group, empty texts another. Repeated rows are rows
-    of one group. Slots run from 0 without gaps; their order among equal ids is
-    arbitrary. An empty table gives no rows. Columns other than the two named are
+    of one group. Slots run from 0 without gaps, in no stated order. An empty table gives no rows. Columns other than the two named are
     ignored, so their names cannot clash.
     """
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text")).select(
@@ -138,16 +132,17 @@ def shard_by_bytes(documents: DataFrame, shards: int = 24, id_col: str = "doc_id
         F.crc32("__text").alias("text_crc32"),
         F.coalesce(F.md5("__text"), F.lit("-")).alias("__key"),
     )
-    groups = rows.groupBy("__key").agg(F.sum("size").alias("__bytes"))
-    groups = groups.withColumn("__class", _size_class(F.col("__bytes")).cast("long"))
-    histogram = groups.groupBy("__class").agg(F.count("*").alias("n")).collect()
+    groups = rows.groupBy("__key").agg(F.sum("size").alias("__class"), F.count("*").alias("__rows"))
+    # One row a distinct size, never more than the square root of twice the table's bytes.
+    histogram = groups.groupBy("__class").agg(F.count("*").alias("n"), F.sum("__rows").alias("rows")).collect()
     runs = near_equal_shards([(r["__class"], r["n"]) for r in histogram], shards)
+    small = F.broadcast if len(histogram) <= BROADCAST_SIZES else lambda df: df
 
     spark = documents.sparkSession
     # Groups of a size are numbered inside salts of a bounded number of groups; the offsets come from counts.
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / RANKED)).cast("long")
     classes = spark.createDataFrame([(r["__class"], r["n"]) for r in histogram], "__class long, n long").select("__class", salts.alias("__salts"))
-    placed = groups.join(F.broadcast(classes), "__class").withColumn("__salt", F.pmod(F.xxhash64("__key"), F.col("__salts")))
+    placed = groups.join(small(classes), "__class").withColumn("__salt", F.pmod(F.xxhash64("__key"), F.col("__salts")))
     counts = placed.groupBy("__class", "__salt").agg(F.count("*").alias("n"))
     offsets = counts.select("__class", "__salt", (F.sum("n").over(Window.partitionBy("__class").orderBy("__salt")) - F.col("n")).alias("__before"))
     ranked = placed.withColumn("__rank", F.row_number().over(Window.partitionBy("__class", "__salt").orderBy("__key")) - 1)
@@ -158,15 +153,17 @@ def shard_by_bytes(documents: DataFrame, shards: int = 24, id_col: str = "doc_id
         by_class.setdefault(size, []).append((first, where))
     plan = spark.createDataFrame([(k, sorted(v)) for k, v in by_class.items()], "__class long, __runs array<struct<first: long, shard: int>>")
     shard = F.element_at(F.filter("__runs", lambda x: x["first"] <= F.col("__rank")), -1)["shard"]
-    assigned = ranked.join(F.broadcast(plan), "__class").select("__key", shard.alias("shard"))
-
-    out = rows.join(assigned, "__key").drop("__key")
-    # Slots: rows of a shard are numbered inside bounded parts, after the parts before them.
-    parts = max(1, -(-sum(r["n"] for r in histogram) // RANKED))
-    out = out.withColumn("__part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)))
+    assigned = ranked.join(small(plan), "__class").select("__key", shard.alias("shard"))
+
+    out = rows.withColumn("__number", F.monotonically_increasing_id()).join(assigned, "__key").drop("__key")
+    # Slots: rows of a shard are numbered inside parts of bounded size, after the parts before them. Rows go to parts
+    # by a number of their own, so that equal rows part too; they are written with it, for it is read twice.
+    parts = max(1, -(-sum(r["rows"] for r in histogram) // RANKED))
+    out = out.withColumn("__part", F.pmod(F.xxhash64("__number"), F.lit(parts)))
+    out = Scratch(spark).put(out)
     sizes = out.groupBy("shard", "__part").agg(F.count("*").alias("n"))
     before = sizes.select("shard", "__part", (F.sum("n").over(Window.partitionBy("shard").orderBy("__part")) - F.col("n")).alias("__before"))
-    out = out.withColumn("__row", F.row_number().over(Window.partitionBy("shard", "__part").orderBy("doc_id", "text_crc32")))
+    out = out.withColumn("__row", F.row_number().over(Window.partitionBy("shard", "__part").orderBy("__number")))
     return out.join(F.broadcast(before) if parts * shards < 100_000 else before, ["shard", "__part"]).select(
         "doc_id",
         "size",
