@@ -15,18 +15,18 @@ size; each block returns at most k rows a query, and those meet in one aggregate
 
 from __future__ import annotations
 
-import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidemark.llm.storage import Scratch
+
 #: Rows of one bitmap block, and queries of one broadcast.
 BLOCK_ROWS = 1 << 16
 QUERY_BYTES = 16 << 20
-#: Sums beyond this many bits are taken in Python's integers.
-SAFE_BITS = 61
 
 
 class BitSlicedBlock:
@@ -38,8 +38,11 @@ class BitSlicedBlock:
         self.n = len(ids)
         self.low = self.vectors.min(axis=0) if self.n else np.zeros(vectors.shape[1], dtype=np.int64)
         self.high = self.vectors.max(axis=0) if self.n else self.low
-        self.slices = [self._slices(self.vectors[:, d] - self.low[d], int(self.high[d] - self.low[d])) for d in range(vectors.shape[1])]
-        self.flipped = [self._slices(self.high[d] - self.vectors[:, d], int(self.high[d] - self.low[d])) for d in range(vectors.shape[1])]
+        # Differences modulo 2^64 are exact, for none is as large.
+        plain, low, high = (x.astype(np.int64).view(np.uint64) for x in (self.vectors, self.low, self.high))
+        with np.errstate(over="ignore"):
+            self.slices = [self._slices(plain[:, d] - low[d], int(self.high[d]) - int(self.low[d])) for d in range(vectors.shape[1])]
+            self.flipped = [self._slices(high[d] - plain[:, d], int(self.high[d]) - int(self.low[d])) for d in range(vectors.shape[1])]
         self.all = self._pack(np.ones(self.n, dtype=bool))
 
     def _pack(self, bits: np.ndarray) -> np.ndarray:
@@ -47,7 +50,7 @@ class BitSlicedBlock:
         return np.concatenate([packed, np.zeros(-len(packed) % 8, dtype=np.uint8)]).view(np.uint64)
 
     def _slices(self, values: np.ndarray, most: int) -> list[np.ndarray]:
-        return [self._pack((values >> b) & 1 == 1) for b in range(most.bit_length())]
+        return [self._pack((values >> np.uint64(b)) & np.uint64(1) == 1) for b in range(most.bit_length())]
 
     def score_slices(self, weights: list[int]) -> list[np.ndarray]:
         """Slices of the (shifted) scores, least significant first."""
@@ -137,19 +140,20 @@ def top_k(vectors: DataFrame, queries_where, k: int = 5, scale: int = 256, id_co
     vectors that are null or hold null or non-finite components, take no part.
     Vectors of several lengths are padded with zeros. Ties go to the smaller id,
     and repeated rows count each for itself as candidates but once as a query
-    (the row with the greatest vector). Scores beyond a long are cut to its range.
+    (the row with the greatest vector). Sums have as many slices as they need, so
+    ranks are exact whatever the size; a score that no long holds is shown as the
+    nearest long.
     """
     spark = vectors.sparkSession
+    scratch = Scratch(spark)
     rows = quantised(vectors, id_col, vector_col, scale)
     asked = rows.where(queries_where).groupBy("vec_id").agg(F.max("v").alias("v"))
     count, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
-    overall = rows.agg(F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    overall = rows.agg(F.max(F.size("v"))).first()
     schema = "query_id long, vec_id long, score long"
     found = spark.createDataFrame([], schema)
     if count:
         width = max(int(overall[0]), 1)
-        bits = max(abs(int(overall[1] or 0)), abs(int(overall[2] or 0)), 1).bit_length()
-        wide = 2 * bits + 2 + math.ceil(math.log2(width)) > SAFE_BITS
         passes = -(-count * (width + 1) * 8 // QUERY_BYTES)
         for n in range(passes):
             part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == n)
@@ -162,24 +166,14 @@ def top_k(vectors: DataFrame, queries_where, k: int = 5, scale: int = 256, id_co
                 def flush() -> Iterator[pa.RecordBatch]:
                     block_ids, matrix = np.concatenate(ids), np.concatenate(parts)
                     out: tuple[list, list, list] = ([], [], [])
-                    if wide:
-                        matrix = matrix.astype(object)
-                        order = np.argsort(block_ids, kind="stable")
-                    else:
-                        block = BitSlicedBlock(block_ids, matrix)
+                    block = BitSlicedBlock(block_ids, matrix)
                     for q, weights in held.value:
-                        if wide:
-                            scores = matrix @ np.array(weights, dtype=object)
-                            best = sorted((i for i in order.tolist() if block_ids[i] != q), key=lambda i: (-scores[i], block_ids[i]))[:k]
-                            hits = [(int(block_ids[i]), max(-(1 << 63), min((1 << 63) - 1, int(scores[i])))) for i in best]
-                        else:
-                            own = np.flatnonzero(block.ids == q) if len(block.ids) and block.ids[0] <= q <= block.ids[-1] else []
-                            best = block.top(weights, k + max(len(own) - 1, 0), int(own[0]) if len(own) else None)
-                            best = best[block.ids[best] != q]
-                            scores = block.vectors[best] @ np.array(weights, dtype=np.int64)
-                            hits = sorted(zip(block.ids[best].tolist(), scores.tolist(), strict=True), key=lambda h: (-h[1], h[0]))[:k]
-                        for vec, score in hits:
-                            out[0].append(q), out[1].append(vec), out[2].append(score)
+                        own = np.flatnonzero(block.ids == q) if len(block.ids) and block.ids[0] <= q <= block.ids[-1] else []
+                        best = block.top(weights, k + max(len(own) - 1, 0), int(own[0]) if len(own) else None)
+                        best = best[block.ids[best] != q]
+                        scores = [sum(map(operator.mul, v, weights)) for v in block.vectors[best].tolist()]
+                        for vec, score in sorted(zip(block.ids[best].tolist(), scores, strict=True), key=lambda h: (-h[1], h[0]))[:k]:
+                            out[0].append(q), out[1].append(vec), out[2].append(max(-(1 << 63), min((1 << 63) - 1, score)))
                     ids.clear(), parts.clear()
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
 
@@ -192,6 +186,9 @@ def top_k(vectors: DataFrame, queries_where, k: int = 5, scale: int = 256, id_co
                     yield from flush()
 
             hits = rows.mapInArrow(search, schema)
+            if passes > 1:  # one block of queries at a time: its hits are written, and its broadcast goes
+                hits = scratch.put(hits)
+                held.unpersist()
             found = found.unionByName(hits) if n else hits
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
