@@ -23,7 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.llm.storage import Scratch
 from tidemark.llm.text import Words, blocks, shingles
 
 BINS = 64
@@ -117,9 +119,11 @@ def contaminated(
     Columns other than those named are ignored, so their names cannot clash.
     """
     spark = documents.sparkSession
+    scratch = Scratch(spark)
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tests = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     id_type, item_type = source.schema["doc_id"].dataType.simpleString(), tests.schema["item_id"].dataType.simpleString()
+    item_arrow = to_arrow_type(tests.schema["item_id"].dataType)
     schema = f"doc_id {id_type}, item_id {item_type}, shared long, of long, containment double"
     size = tests.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     passes = max(1, -(-int(size) // ITEM_BLOCK_BYTES))
@@ -144,7 +148,7 @@ def contaminated(
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows,
-                        pa.array([f[1] for f in found], type=pa.string() if item_type == "string" else None if found else pa.int64()),
+                        pa.array([f[1] for f in found], type=item_arrow),
                         pa.array([f[2] for f in found], type=pa.int64()),
                         pa.array([f[3] for f in found], type=pa.int64()),
                         pa.array([f[2] / f[3] for f in found], type=pa.float64()),
@@ -152,7 +156,11 @@ def contaminated(
                     names=["doc_id", "item_id", "shared", "of", "containment"],
                 )
 
-        out = out.unionByName(source.mapInArrow(search, schema)) if n else source.mapInArrow(search, schema)
+        found = source.mapInArrow(search, schema)
+        if passes > 1:  # one block of items at a time: its rows are written, and its broadcast goes
+            found = scratch.put(found)
+            held.unpersist()
+        out = out.unionByName(found) if n else found
     return out
 
 
