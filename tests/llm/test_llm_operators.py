@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.bagminhash import near_duplicates, one_per_class
 from tidemark.llm.bitslice import top_k
 from tidemark.llm.decontaminate import contaminated, decontaminate
-from tidemark.llm.kneser_ney import log_likelihoods, fit, quality
 from tidemark.llm.licenses import license_scan
 from tidemark.llm.linededup import drop_repeated_lines, line_classes
 from tidemark.llm.packing import pack_sequences
@@ -269,29 +268,6 @@ def test_top_k_against_brute_force(spark):
     assert [r.vec_id for r in top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
 
 
-def test_quality(spark, odd, empty):
-    good = [(i, " ".join(words(80, 1 + i % 7)), "en") for i in range(40)]
-    bad = [(100 + i, "### $$$ %%% ^^^ " * 20, "en") for i in range(5)]
-    docs = spark.createDataFrame([*good, *bad, (200, None, "en"), (201, "", None)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(100, 0), (None, 1)], "doc_id long, quality int")
-    got = {r.doc_id: r for r in quality(docs, labels).collect()}
-    assert all(got[i].keep for i in range(30)) and not any(got[100 + i].keep for i in range(5)) and not got[200].keep and not got[201].keep and got[200].perplexity is None
-    assert quality(empty, labels).count() == 0 and quality(odd, labels.limit(0)).count() == odd.count()
-
-
-def test_kneser_ney_is_a_distribution_and_shards_agree(spark):
-    texts = spark.createDataFrame([(" ".join(words(200, s)),) for s in range(3)], "text string")
-    scratch = Scratch(spark)
-    model, weights = fit(texts, scratch, 3)
-    context = "ab"
-    probe = spark.createDataFrame([((context + chr(c)),) for c in range(1, 128)] + [(context,)], "text string")
-    whole = {r.text: r.total for r in log_likelihoods(probe, model, weights, 3, scratch).collect()}
-    mass = sum(np.exp(whole[context + chr(c)] - whole[context]) for c in range(1, 128))
-    assert 0.45 < mass <= 1.0 + 1e-6  # the rest belongs to the other 129 symbols
-    parts = {r.text: r.total for r in log_likelihoods(probe, model, weights, 3, scratch, shard_rows=200).collect()}
-    assert all(abs(parts[t] - whole[t]) < 1e-4 for t in whole)
-
-
 def test_folding_and_exceptions():
     lexicon = Lexicon({"idiot": 5.0, "trash": 4.0}, {"lowei": 3.0}, ["trash can"])
     assert fold("1D10T") == "idiot" and fold("іdіоt") == "idiot" and fold("tr@sh") == "trash" and fold("a$$b c$") == "assb c$"
