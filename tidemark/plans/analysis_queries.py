@@ -65,8 +65,10 @@ def _gains(spark, sf):
     return analysis.aggregation_gain(own, ["seed"]).select("round", "seed", "protocol", "proxy", "actual_gain")
 
 
-# A third of the gain, for gains themselves can end on a rounding tie.
-query("aggregation_gain", f"SELECT round, seed, {r6('proxy', 'proxy')}, {r6('actual_gain / 3', 'third')} FROM ({_GAIN})")(lambda spark, sf: _gains(spark, sf).select("round", "seed", "proxy", (F.col("actual_gain") / 3).alias("third")))
+# Thirds, for the values themselves can end on a rounding tie.
+query("aggregation_gain", f"SELECT round, seed, {r6('proxy / 3', 'proxy_third')}, {r6('actual_gain / 3', 'gain_third')} FROM ({_GAIN})")(
+    lambda spark, sf: _gains(spark, sf).select("round", "seed", (F.col("proxy") / 3).alias("proxy_third"), (F.col("actual_gain") / 3).alias("gain_third"))
+)
 _SEEDED = f"""SELECT protocol, seed, corr(proxy, actual_gain) AS p, corr(rx, ry) AS s FROM (SELECT *, rank() OVER (PARTITION BY protocol, seed ORDER BY proxy) + (count(*) OVER (PARTITION BY protocol, seed, proxy) - 1) / 2.0::DOUBLE AS rx,
  rank() OVER (PARTITION BY protocol, seed ORDER BY actual_gain) + (count(*) OVER (PARTITION BY protocol, seed, actual_gain) - 1) / 2.0::DOUBLE AS ry FROM ({_GAIN}) WHERE actual_gain IS NOT NULL) GROUP BY protocol, seed HAVING min(proxy) < max(proxy) AND min(actual_gain) < max(actual_gain)"""
 query("seed_correlations", f"SELECT protocol, count(*) AS seeds, {r6('avg(p)', 'mean_seed_pearson')}, {r6('avg(s)', 'mean_seed_spearman')}, CASE WHEN avg(s) - stddev_samp(s) > 0 THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS rank_validity FROM ({_SEEDED}) GROUP BY protocol")(
