@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")) if not _nested(edges) else edges.where("a <> b").select(
         F.when(F.col("a") > F.col("b"), F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(F.col("a") > F.col("b"), F.col("b")).otherwise(F.col("a")).alias("lo")
     )
-    current = scratch.put(ordered.distinct())
+    current = scratch.gather(ordered.distinct())
     mark = _mark(current)
     while mark[0]:
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        after = scratch.put(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
+        after = scratch.gather(small.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct())
         new = _mark(after)
         scratch.drop(current)
         current = after

@@ -1,94 +1,213 @@
 """Classes of similar nodes from shared buckets, without a bucket's all pairs.
 
-In each bucket one hub (the node that shares most buckets with others) is compared
-with all members, one pair a member. Where all are of the hub's class after that,
-the bucket is done. The members of the other buckets go through an exact
-set-similarity join: tokens in a global order, rarest first, and only pairs of two
-classes that share a token among their first n - ceil(t n) + 1, that fit in size
-and whose shared token stands early enough, are compared. Any pair at or above the
-threshold passes these filters, so classes come out as if every pair of every
-bucket had been compared, while members that are merely akin (a large group of
-texts just below the threshold) open with tokens of their own and meet nobody.
+A node is a set of tokens. Every group of nodes (first: the buckets that share a
+hub, the node that shares most buckets with others) is compared with its hub, one
+pair a member. What the hub does not link is then told apart by what it does not
+share with the hub: with D(A) = A xor hub, |A xor B| = |D(A) xor D(B)|, and
+
+    jaccard(A, B) >= t   if and only if   |A xor B| <= c (|A| + |B|),  c = (1 - t) / (1 + t),
+
+so A and B must share (v(A) + v(B)) / 2 tokens of their differences, v(A) = |D(A)| - c |A|.
+A member that the hub doesn't link has v > c |hub|, so that is above 0 unless the hub
+links both. Hence two members that belong together share a token among the first
+|D| - s + 1 of each, in an order common to the group, rarest first, where s is what a
+member must share with any partner (groups of a few members are compared without that). Nor can they share more than either has tokens
+which others of the group have as well. The members that open with one token are cut
+down by these bounds; where few are left of one of the two kinds, pairs that meet the
+bounds are compared, else they become a group with a hub of its own, and so on until
+no group holds two classes. Each group lacks its parent's hub, so this ends. Rows grow
+with the members, whatever the sizes of the groups: copies that are merely akin (a
+large group just below the threshold) differ from their hub each in their own way and
+meet nobody. No pair at or above the threshold is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.components import connected_components
-from tidemark.llm.storage import Scratch
+from tidemark.llm.storage import ONE_TASK, Scratch
+
+#: Shared buckets that may be broadcast to pick their members (some 64 bytes each in memory, 32 MB in all); beyond, members are shuffled to them.
+BROADCAST_BUCKETS = 500_000
+#: Pairs of nodes that may be broadcast to fetch their tokens (some 100 bytes each in memory); beyond, tokens are shuffled to them.
+BROADCAST_PAIRS = 300_000
+#: Members that a group may have to be compared pair by pair, and partners that a member may meet by one token; larger groups get a hub.
+FEW, PARTNERS = 8, 32
+
+
+class _Classes:
+    """The classes so far, as (node, root) of the nodes in classes of two or more."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.roots = scratch, None
 
-#: Shared buckets that may be broadcast to pick their members (16 bytes each); beyond, members are shuffled to them.
-BROADCAST_BUCKETS = 1_000_000
+    def of(self, df: DataFrame, node: str, out: str) -> DataFrame:
+        if self.roots is None:
+            return df.withColumn(out, F.col(node))
+        label = self.roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+        return df.join(label, df[node] == label["__n"], "left").withColumn(out, F.coalesce("__r", node)).drop("__n", "__r")
 
+    def link(self, edges: DataFrame) -> None:
+        """Unite the classes of ``edges`` (a, b)."""
+        joined = self.of(self.of(edges, "a", "__a"), "b", "__b").select(F.col("__a").alias("a"), F.col("__b").alias("b")).where("a <> b")
+        found = connected_components(joined, self.scratch)
+        if self.roots is None:
+            self.roots = self.scratch.gather(found)
+            return
+        moved = self.scratch.gather(found)
+        step = moved.select(F.col("node").alias("root"), F.col("root").alias("__to"))
+        relabelled = self.roots.join(step, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
+        before, self.roots = self.roots, self.scratch.gather(relabelled.unionByName(moved.join(self.roots.select("node"), "node", "left_anti")))
+        self.scratch.drop(before, moved)
 
-def _ordered(x: str, y: str) -> tuple[Column, Column]:
-    a, b = F.col(x), F.col(y)
-    return F.when(a < b, a).otherwise(b).alias("a"), F.when(a < b, b).otherwise(a).alias("b")
 
+def _at_least(x: Column) -> Column:
+    """The least count of shared tokens that ``x`` asks for, one at the least."""
+    return F.greatest(F.ceil(x - 1e-6), F.lit(1)).cast("long")
 
-def _rooted(df: DataFrame, roots: DataFrame, node: str, out: str) -> DataFrame:
-    label = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-    return df.join(label, df[node] == label["__n"], "left").withColumn(out, F.coalesce("__r", node)).drop("__n", "__r")
 
+def _bounded(rows: DataFrame, key: list[str], kind: str, partner: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: of the kind, and within the bounds of the partners that open with the same token."""
+    other = rows.where(partner).groupBy(*key, "t").agg(F.min("v").alias("__v"), F.max("most").alias("__most"))
+    fits = F.col(kind) & (F.col("most") >= F.col("__v")) & (F.col("v") <= F.col("__most"))
+    return rows.join(other, [*key, "t"], "left").withColumn(out, F.coalesce(fits, F.lit(False))).drop("__v", "__most")
 
-def similar_classes(
-    members: DataFrame, fetch: Callable[[DataFrame, int], DataFrame], compare: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], threshold: float, scratch: Scratch
-) -> DataFrame:
+
+def similar_classes(members: list[DataFrame], fetch: Callable[[DataFrame, int], DataFrame], threshold: float, scratch: Scratch, done: Callable[[], None] = lambda: None) -> DataFrame:
     """(node, root) of the nodes in classes of two or more.
 
-    ``members``: bucket, node, from a written table, for it is read twice. ``fetch`` gets the nodes that share a bucket, and how
-    many they are, and gives (node, content, size); ``compare`` turns (a, b, x, y),
-    x and y being the contents, into (a, b, sim); ``tokens`` turns contents into
-    (node, tokens), distinct longs, as many as the size, whose Jaccard similarity is
-    sim. Contents are fetched once.
+    ``members``: bucket, h1, h2, from written tables, for they are read twice; a node is
+    the struct of h1 and h2. Tables are taken one by one, so the disk holds one's rows
+    at a time; no bucket is in two. ``fetch`` gets the nodes that share a bucket, and how many
+    they are, and gives (node, tokens), distinct longs whose Jaccard similarity links
+    nodes. It is called once. ``done`` is called when ``members`` isn't needed any more.
     """
-    sizes = scratch.put(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    few = sizes.count() <= BROADCAST_BUCKETS
-    shared = scratch.put(members.join(F.broadcast(sizes) if few else sizes, "bucket"))
-    degree = scratch.put(shared.groupBy("node").agg(F.sum("n").alias("degree")))
+    parts = []
+    for part in members:
+        sizes = scratch.put(part.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        few = sizes.count() <= BROADCAST_BUCKETS
+        parts.append(scratch.put(part.join(F.broadcast(sizes) if few else sizes, "bucket").select("bucket", F.struct("h1", "h2").alias("node"), "n")))
+        scratch.drop(sizes)
+        scratch.sweep()
+    done()
+    shared = reduce(DataFrame.unionByName, parts)
+    degree = scratch.gather(shared.groupBy("node").agg(F.sum("n").alias("degree")))
     contents = scratch.put(fetch(degree.select("node"), degree.count()))
-    described = degree.join(contents.select("node", "size"), "node")
-    buckets = scratch.put(shared.select("bucket", "node").join(described, "node"))
-    scratch.drop(shared)
-    hubs = scratch.put(buckets.groupBy("bucket").agg(F.max(F.struct("degree", "node", "size")).alias("top")).select("bucket", F.col("top.node").alias("hub"), F.col("top.size").alias("hub_size")))
-    near = threshold - 1e-9
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        left = contents.select(F.col("node").alias("a"), F.col("content").alias("x"))
-        right = contents.select(F.col("node").alias("b"), F.col("content").alias("y"))
-        return scratch.put(compare(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")))
-
-    spokes = buckets.join(hubs, "bucket").where("node <> hub")
-    fits = F.least("size", "hub_size") >= near * F.greatest("size", "hub_size")
-    compared = alike(spokes.where(fits).select(*_ordered("node", "hub")).distinct())
-    roots = scratch.put(connected_components(compared.where(F.col("sim") >= near).select("a", "b"), scratch))
-    # Buckets with members outside their hub's class hold pairs of two classes that nothing has compared yet.
-    far = spokes.select("bucket", "node", "hub", "size")
-    far = _rooted(_rooted(far, roots, "node", "root"), roots, "hub", "hub_root")
-    mixed = far.where("root <> hub_root").groupBy("bucket").agg(F.count("*").alias("out"), F.lit(True).alias("mixed"))
-    several = far.groupBy("bucket").agg(F.count("*").alias("n")).join(mixed, "bucket").where("n > 1")  # a bucket of two is done
-    left = far.join(several.select("bucket"), "bucket").select("node", "root", "size").distinct()
-    rows = scratch.put(left.join(tokens(contents), "node"))
-    each = rows.select("node", "root", "size", F.explode("tokens").alias("t"))
-    frequency = each.groupBy("t").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("node").orderBy("n", "t")
-    opening = each.join(frequency, "t").withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("size") - F.ceil(near * F.col("size")) + 1)
-    # A token that one class alone opens with gives no pair of two classes.
-    wanted = opening.groupBy("t").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("t")
-    opening = scratch.put(opening.join(wanted, "t").select("t", "node", "root", "size", "i"))
-    one = opening.select("t", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"), F.col("i").alias("p_i"))
-    two = opening.select("t", F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("size").alias("q_size"), F.col("i").alias("q_i"))
-    fits = F.least("p_size", "q_size") >= near * F.greatest("p_size", "q_size")
-    # Position: what follows the shared token on the shorter side must be able to reach the overlap needed.
-    reach = F.least(F.col("p_size") - F.col("p_i"), F.col("q_size") - F.col("q_i")) + F.least("p_i", "q_i") >= near / (1 + near) * (F.col("p_size") + F.col("q_size"))
-    pairs = one.join(two, "t").where((F.col("p") < F.col("q")) & (F.col("p_root") != F.col("q_root")) & fits & reach).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-    links = alike(pairs).where(F.col("sim") >= near)
-    joined = _rooted(_rooted(links, roots, "a", "__ra"), roots, "b", "__rb").select(F.col("__ra").alias("a"), F.col("__rb").alias("b")).where("a <> b")
-    moved = scratch.put(connected_components(joined, scratch))
-    step = moved.select(F.col("node").alias("root"), F.col("root").alias("__to"))
-    relabelled = roots.join(step, "root", "left").select("node", F.coalesce("__to", "root").alias("root"))
-    new = moved.join(roots.select("node"), "node", "left_anti")
-    return scratch.put(relabelled.unionByName(new).distinct())
+    buckets = shared.select("bucket", "node").join(degree, "node")
+    hubs = buckets.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("top"))
+    spokes = scratch.gather(shared.select("bucket", "node").join(hubs, "bucket").select("node", "top").where("node <> top.node").distinct())
+    scratch.drop(*parts, degree)
+    scratch.sweep()
+    t = threshold - 1e-9
+    c = (1 - t) / (1 + t)
+    classes = _Classes(scratch)
+
+    def facing(pairs: DataFrame) -> DataFrame:
+        """``pairs``, a written table, with the tokens of hub (x) and node (y)."""
+        hub, node = contents.select(F.col("node").alias("hub"), F.col("tokens").alias("x")), contents.select("node", F.col("tokens").alias("y"))
+        if pairs.count() > BROADCAST_PAIRS:
+            return pairs.join(hub, "hub").join(node, "node")
+        return node.join(F.broadcast(pairs), "node").join(hub.join(F.broadcast(pairs.select("hub").distinct()), "hub", "left_semi"), "hub")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """(hub, node, nh, nn, d): the sizes, and how many tokens stand in one of the two only."""
+        nh, nn, same = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+        pairs = scratch.gather(pairs)
+        found = scratch.gather(facing(pairs).select("hub", "node", nh.alias("nh"), nn.alias("nn"), (nh + nn - 2 * same).alias("d")))
+        large = pairs.count() > ONE_TASK
+        scratch.drop(pairs)
+        if large:
+            scratch.sweep()
+        return found
+
+    linked = F.col("d") <= c * (F.col("nn") + F.col("nh"))
+
+    def link(pairs: DataFrame) -> None:
+        classes.link(pairs.where(linked).select(F.col("hub").alias("a"), F.col("node").alias("b")))
+
+    # Each node meets its best hub first: most groups are of one class after that and need no more.
+    first = measured(spokes.groupBy("node").agg(F.max("top").alias("top")).select(F.col("top.node").alias("hub"), "node"))
+    link(first)
+    groups = scratch.gather(spokes.select(F.lit(0).cast("long").alias("g"), F.col("top.node").alias("hub"), "node"))
+    scratch.drop(first, spokes)
+    key = ["g", "hub"]
+    while True:
+        rooted = classes.of(classes.of(groups, "node", "root"), "hub", "hub_root")
+        mixed = rooted.groupBy(*key).agg(F.max((F.col("root") != F.col("hub_root")).cast("int")).alias("m")).where("m = 1").drop("m")
+        live = scratch.gather(groups.join(mixed, key))
+        scratch.drop(groups)
+        if live.isEmpty():
+            break
+        seen = measured(live.select("hub", "node").distinct())
+        link(seen)
+        rows = classes.of(classes.of(live.join(seen, ["hub", "node"]), "node", "root"), "hub", "hub_root")
+        # By the triangle inequality a member too far from the hub has no partner that the hub links.
+        near = F.col("d") <= c * (F.col("nn") + (1 + 2 / t) * F.col("nh"))
+        rows = rows.select(*key, "node", "root", "nn", "nh", "d", (~linked).alias("apart"), (~linked & near & (F.col("root") != F.col("hub_root"))).alias("seeker"))
+        rows = scratch.gather(rows)
+        wants = rows.groupBy(*key).agg(
+            F.min(F.when(F.col("seeker"), F.col("d") - c * F.col("nn"))).alias("least"), F.min(F.when(F.col("apart"), F.col("root"))).alias("r0"), F.max(F.when(F.col("apart"), F.col("root"))).alias("r1")
+        )
+        several = F.coalesce(F.col("r0") != F.col("r1"), F.lit(False))
+        reached = F.coalesce((F.col("d") > 0) & (F.col("d") + c * F.col("nn") >= F.col("least") - 1e-6), F.lit(False))
+        needed = rows.join(wants, key).where((F.col("apart") & (several | F.col("seeker"))) | (~F.col("apart") & reached)).drop("least", "r0", "r1")
+        needed = scratch.gather(needed.withColumn("m", F.monotonically_increasing_id()).withColumn("v", F.col("d") - c * F.col("nn")))
+        scratch.drop(live, seen, rows)
+        if needed.isEmpty():
+            break
+        counted = scratch.gather(needed.groupBy(*key).agg(F.count("*").alias("n")))
+        some = needed.join(counted.where(F.col("n") <= FEW), key).select(*key, "node", "root", "nn", "d", "apart")
+        p, q = (some.select(*key, *(F.col(x).alias(f"{side}_{x}") for x in ("node", "root", "nn", "d", "apart"))) for side in ("p", "q"))
+        close = F.abs(F.col("p_d") - F.col("q_d")) <= c * (F.col("p_nn") + F.col("q_nn"))
+        pairs = p.join(q, key).where((F.col("p_node") < F.col("q_node")) & (F.col("p_root") != F.col("q_root")) & (F.col("p_apart") | F.col("q_apart")) & close)
+        compared = measured(pairs.select(F.col("p_node").alias("hub"), F.col("q_node").alias("node")).distinct())
+        link(compared)
+        # The others by tokens. What a member shares at least with a partner that is apart from the hub, and with one that the hub links:
+        short = F.col("d") - _at_least((F.col("d") + c * (F.col("nh") - F.col("nn"))) / 2) + 1
+        long = F.when(F.col("seeker"), F.col("d") - _at_least((F.col("d") - c * (F.col("nn") + F.col("nh"))) / 2) + 1).otherwise(short)
+        many = scratch.gather(needed.join(counted.where(F.col("n") > FEW).drop("n"), key).withColumns({"short": short, "long": long}))
+        scratch.drop(needed, counted, compared)
+        if many.isEmpty():
+            break
+        different = F.explode(F.concat(F.array_except("y", "x"), F.array_except("x", "y"))).alias("t")
+        each = scratch.put(facing(many.select("hub", "node", F.xxhash64(*key).alias("of"), "m", "long")).select("of", "m", "long", different))
+        frequency = each.groupBy("of", "t").agg(F.count("*").alias("n"))
+        own = Window.partitionBy("m")
+        ranked = each.join(frequency, ["of", "t"]).withColumn("i", F.row_number().over(own.orderBy("n", "t"))).withColumn("e", F.sum((F.col("n") > 1).cast("int")).over(own))
+        ranked = ranked.where("n > 1 and i <= long").select("m", "t", "i", "e").join(many.select(*key, "m", "node", "root", "apart", "seeker", "short", "v"), "m")
+        first = F.col("i") <= F.col("short")
+        opening = ranked.select(
+            *key, "t", "node", "root", "v", (2 * F.col("e") - F.col("v") + 1e-6).alias("most"), (~F.col("apart") & first).alias("hubs"), "seeker", (F.col("apart") & first).alias("own")
+        )
+        opening = scratch.gather(opening)
+        # v(A) + v(B) is at most twice what either can share: v(A) <= most(B).
+        fits = _bounded(_bounded(_bounded(opening, key, "hubs", "seeker", "h"), key, "seeker", "hubs", "s"), key, "own", "own", "o")
+        fits = scratch.gather(fits.select(*key, "t", "node", "root", "v", "most", F.col("h").alias("hubs"), F.col("s").alias("seeker"), F.col("o").alias("own")).where("hubs or seeker or own"))
+        kinds = fits.groupBy(*key, "t").agg(
+            F.count_if("hubs").alias("n_hubs"), F.count_if("seeker").alias("n_seekers"), F.count_if("own").alias("n_own"), F.min(F.when(F.col("own"), F.col("root"))).alias("r0"), F.max(F.when(F.col("own"), F.col("root"))).alias("r1")
+        )
+        met = fits.join(kinds.where("n_hubs * n_seekers > 0 or r0 <> r1"), [*key, "t"])
+        met = met.withColumn("own", F.col("own") & several).withColumn("hubs", F.expr("hubs and n_seekers > 0")).withColumn("seeker", F.expr("seeker and n_hubs > 0")).where("hubs or seeker or own")
+        few = F.least("n_hubs", "n_seekers") <= PARTNERS
+        met = scratch.gather(met.select(*key, "t", "node", "root", "v", "most", "hubs", "seeker", "own", (few & ((F.col("n_own") <= PARTNERS) | ~several)).alias("few")))
+        one, two = (met.where("few").select(*key, "t", *(F.col(x).alias(f"{side}_{x}") for x in ("node", "root", "v", "most", "hubs", "seeker", "own"))) for side in ("p", "q"))
+        meant = (F.col("p_hubs") & F.col("q_seeker")) | (F.col("p_own") & F.col("q_own") & (F.col("p_node") < F.col("q_node")))
+        pairs = one.join(two, [*key, "t"]).where(meant & (F.col("p_root") != F.col("q_root")) & (F.col("p_v") <= F.col("q_most")) & (F.col("q_v") <= F.col("p_most")))
+        candidates = measured(pairs.select(F.col("p_node").alias("hub"), F.col("q_node").alias("node")).distinct())
+        link(candidates)
+        subs = scratch.gather(met.where("not few").select(*key, "t", "node"))
+        scratch.drop(many, each, opening, fits, met, candidates)
+        if subs.isEmpty():
+            break
+        share = subs.groupBy(*key, "node").agg(F.count("*").alias("degree"))
+        tops = subs.join(share, [*key, "node"]).groupBy(*key, "t").agg(F.max(F.struct("degree", "node")).alias("top"))
+        groups = subs.join(tops, [*key, "t"]).where("node <> top.node").select(F.xxhash64(*key).alias("g"), F.col("top.node").alias("hub"), "node").distinct()
+        groups = scratch.gather(groups)
+        scratch.drop(subs)
+    scratch.drop(contents)
+    scratch.sweep()
+    return classes.roots

@@ -9,26 +9,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset (local tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only for a local master without one, where driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     found = found or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Rows of a table of ids and numbers (some 100 bytes each) that one task may hold.
+ONE_TASK = 50_000
+
+
+#: Bytes of one batch of texts on its way to Python, where the session has Spark's own limit (64 MB).
+BATCH, SPARKS_BATCH = "8388608b", "67108864b"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are passed to Python in smaller batches than Spark's: a worker's memory follows the batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) == SPARKS_BATCH:
+        spark.conf.set(name, BATCH)
+
+
 class Scratch:
     """Tables written once and read again: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
         self.made = 0
+        small_batches(spark)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, compression: str | None = None) -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -41,5 +60,20 @@ class Scratch:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+    def gather(self, df: DataFrame) -> DataFrame:
+        """``put``, but a table of at most ``ONE_TASK`` rows comes back as one partition, so that the steps on it need no shuffle."""
+        out = self.put(df)
+        if out.count() > ONE_TASK:
+            return out
+        one = out.coalesce(1)
+        one._scratch_path = out._scratch_path
+        return one
+
+    def sweep(self) -> None:
+        """Let Spark remove the shuffle files of plans that have ended: it does so once the driver has collected them."""
+        self.spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
