@@ -113,13 +113,19 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def _values(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of a column, a few rows at a time, so that a batch is never held as Python strings."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def _terms(texts: DataFrame) -> DataFrame:
     """(term, stem, toxic, clean): in how many toxic and clean texts each word and stem stands."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: dict[tuple[str, bool], list[int]] = defaultdict(lambda: [0, 0])
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic in zip(_values(batch.column(0)), _values(batch.column(1)), strict=True):
                 words = set(_WORD.findall(fold(text or "")))
                 for w in words:
                     total[w, False][toxic] += 1
@@ -146,7 +152,7 @@ def _contexts(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic in zip(_values(batch.column(0)), _values(batch.column(1)), strict=True):
                 folded = fold(text or "")
                 own = set()
                 for s, e, _ in lexicon.hits(folded):
@@ -213,7 +219,7 @@ def fit_lexicon(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, support: in
 
         def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = [lexicon.features(t)[:2] for t in batch.column(0).to_pylist()]
+                x = [lexicon.features(t)[:2] for t in _values(batch.column(0))]
                 yield pa.RecordBatch.from_pydict({"a": pa.array([v[0] for v in x], type=pa.float64()), "b": pa.array([v[1] for v in x], type=pa.float64()), "y": batch.column(1)})
 
         table = kept.mapInArrow(features, "a double, b double, y int").toPandas()
@@ -244,7 +250,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [lexicon.features(t) for t in batch.column(1).to_pylist()]
+            x = [lexicon.features(t) for t in _values(batch.column(1))]
             y = [lexicon.score(v) for v in x]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(y, type=pa.float64()), pa.array([int(v >= 0.5) for v in y], type=pa.int32()), pa.array([v[2] for v in x], type=pa.int64())],
