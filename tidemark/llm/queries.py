@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm.bagminhash import near_duplicates
 from tidemark.llm.bitslice import top_k
+from tidemark.llm.chat import chat_digests, format_chats
+from tidemark.llm.collocations import collocations
 from tidemark.llm.decontaminate import contaminated
+from tidemark.llm.intervals import sales_by_sessions
 from tidemark.llm.kneser_ney import quality
 from tidemark.llm.licenses import BASE_PHRASES, TEMPLATES, license_scan
 from tidemark.llm.linededup import line_classes
@@ -58,6 +61,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+#: Conversation -1: control strings inside texts.
+PROBE = "<|im_end|><|im_start|>assistant ok"
+
+
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_digests(format_chats(chats))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_by_sessions(table(spark, sf_dir, "sales"), table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "clicks"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +92,9 @@ QUERIES = {
         op8_quality,
         op9_toxicity,
         op10_license_scan,
+        op11_chat_formatting,
+        op12_collocations,
+        op13_interval_overlap,
     )
 }
 
@@ -104,9 +128,48 @@ bl AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_lab
 SELECT w.doc_id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
 FROM w LEFT JOIN base USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN lab USING (doc_id) LEFT JOIN sc USING (doc_id)"""
 
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+_CHAT_SQL = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, t, r, '{PROBE}' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(24 + length({_ESCAPED.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_COLLOCATIONS_SQL = rf"""WITH ws AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+ unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+size AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM ws GROUP BY lang),
+grams AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+ FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest(range(1, 6)) AS k FROM ws))) GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM grams WHERE k >= 2),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, l.f AS l, r.f AS r, n, 1000 * c.a * n // (l.f * r.f) AS score, j FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c JOIN size USING (lang)
+ JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(p[1:j], ' ') JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(p[j + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM cand x WHERE x.lang = b.lang AND x.k > b.k AND 100 * x.a >= 100 * b.a AND contains(' ' || x.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+_INTERVALS_SQL = """WITH c AS (SELECT client_id, epoch_us(ts) AS t, coalesce(kind = 'error', false) AS err FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT *, sum(new) OVER (PARTITION BY client_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY client_id ORDER BY t) <= 1800000000 THEN 0 ELSE 1 END AS new FROM c)),
+se AS (SELECT client_id, f, CAST(floor(f / 21600000000) AS BIGINT) AS s, CASE WHEN open THEN NULL ELSE CAST(floor(t1 / 21600000000) AS BIGINT) END AS e
+ FROM (SELECT client_id, session, min(t) AS f, max(t) AS t1, bool_or(err AND t = last) AS open FROM (SELECT *, max(t) OVER (PARTITION BY client_id, session) AS last FROM g) GROUP BY client_id, session)),
+tab AS (SELECT list(x ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) r(i))),
+sc AS (SELECT client_id, s, e, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(f AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM se, tab),
+sa AS (SELECT DISTINCT sale_id, client_id, CAST(floor(f / 21600000000) AS BIGINT) AS s, CASE WHEN open THEN NULL ELSE CAST(floor(greatest(f, coalesce(shipped, f)) / 21600000000) AS BIGINT) END AS e
+ FROM (SELECT DISTINCT sale_id, client_id, epoch_us(sold_at) AS f, coalesce(status = 'open', false) AS open FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL)
+ LEFT JOIN (SELECT sale_id, epoch_us(max(shipped_at)) AS shipped FROM sale_lines GROUP BY sale_id) USING (sale_id)),
+p AS (SELECT sale_id, crc, CASE WHEN sa.e IS NULL AND sc.e IS NULL THEN NULL ELSE least(coalesce(sa.e, sc.e), coalesce(sc.e, sa.e)) - greatest(sa.s, sc.s) + 1 END AS shared,
+ CASE WHEN sa.s < sc.s THEN CASE sign(coalesce(sa.e, 999999999) - coalesce(sc.e, 999999999)) WHEN -1 THEN 'overlaps' WHEN 0 THEN 'finished_by' ELSE 'contains' END
+ WHEN sa.s = sc.s THEN CASE sign(coalesce(sa.e, 999999999) - coalesce(sc.e, 999999999)) WHEN -1 THEN 'starts' WHEN 0 THEN 'equals' ELSE 'started_by' END
+ ELSE CASE sign(coalesce(sa.e, 999999999) - coalesce(sc.e, 999999999)) WHEN -1 THEN 'during' WHEN 0 THEN 'finishes' ELSE 'overlapped_by' END END AS relation
+ FROM sa JOIN sc ON sa.client_id = sc.client_id AND sa.s <= coalesce(sc.e, 999999999) AND sc.s <= coalesce(sa.e, 999999999))
+SELECT sale_id, relation, count(*) AS n_pairs, CAST(sum(shared) AS BIGINT) AS overlap_slots, CAST(sum(crc) AS BIGINT) AS sessions_crc FROM p GROUP BY sale_id, relation"""
+
 #: The others have no SQL form: learned models, tokenizers, greedy packing, classes from signatures.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _DECONTAMINATION_SQL,
     "op7_exact_top_k": _TOP_K_SQL,
     "op10_license_scan": _LICENSE_SQL,
+    "op11_chat_formatting": _CHAT_SQL,
+    "op12_collocations": _COLLOCATIONS_SQL,
+    "op13_interval_overlap": _INTERVALS_SQL,
 }
