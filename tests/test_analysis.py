@@ -33,13 +33,6 @@ def test_equal_quotas_equal_turns(spark):
             assert {r.c: r.quota for r in found if r.g == g} == turns({c: a for h, c, a in rows if h == g}, total)
 
 
-def test_repaired_counts():
-    assert analysis.repaired_counts([10, 500, 700, 150], 200) == [200, 500, 460, 200]
-    assert analysis.repaired_counts([], 5) == []
-    with pytest.raises(ValueError):
-        analysis.repaired_counts([1, 250], 200)
-
-
 def test_row_hash_keeps_separators_apart(spark):
     rows = spark.createDataFrame([("a|vb", "c"), ("a", "b|vc"), ("a", None), ("a", "n"), (None, "a"), ("a|v1:b", "c"), ("a", "1:b|v1:c")], "x string, y string")
     for f in (row_hash, row_hash_128):

@@ -78,21 +78,6 @@ def equal_quotas(strata: DataFrame, total: int, available: str, key: str, group:
     return filled.withColumn("quota", quota.cast("long")).drop("__i", "__n", "__base", "__below", "__q", "__room")
 
 
-def repaired_counts(counts: list[int], least: int) -> list[int]:
-    """Client sizes after donations: the smallest client gets what it lacks from the largest, until none has fewer than ``least``.
-
-    ``counts`` is one number a client. It is an error if a donor would fall below ``least``.
-    """
-    counts = list(counts)
-    while counts and min(counts) < least:
-        receiver, donor = counts.index(min(counts)), counts.index(max(counts))
-        need = least - counts[receiver]
-        if counts[donor] - need < least:
-            raise ValueError(f"clients cannot all have {least} rows")
-        counts[receiver], counts[donor] = least, counts[donor] - need
-    return counts
-
-
 def remove_features(columns: list[str], flagged: list[str], expected: int = 10) -> list[str]:
     """``columns`` without the flagged ones, of which exactly ``expected`` must be there."""
     gone = [c for c in columns if c in set(flagged)]

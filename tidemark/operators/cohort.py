@@ -135,30 +135,6 @@ def least_loaded(groups: DataFrame, clients: int, size: str = "n", key: str = "g
     return folded.select(F.explode("f.out").alias("x")).select(F.col("x.id").alias(key), "x.client_id")
 
 
-def dirichlet_partition(rows: DataFrame, label: str, row_key: str, clients: int, alpha: float, seed: int, least: int = 1) -> DataFrame:
-    """``client_id`` per row: proportions drawn per class, rows cut by the rank of a keyed hash.
-
-    Proportions are redrawn until every client's expected rows reach ``least`` (1000 draws at most, then the best).
-    """
-    import numpy as np
-
-    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
-    rng = np.random.default_rng(seed)
-    best, best_least = None, -1.0
-    for _ in range(1000):
-        drawn = {y: rng.dirichlet([alpha] * clients) for y in sorted(sizes)}
-        smallest = min(sum(drawn[y] * n for y, n in sizes.items())) if sizes else 0
-        if smallest > best_least:
-            best, best_least = drawn, smallest
-        if best_least >= least:
-            break
-    bounds = [(y, [float(x) for x in np.minimum(np.cumsum(p), 1.0)]) for y, p in (best or {}).items()]
-    table = rows.sparkSession.createDataFrame(bounds, f"{label} {rows.schema[label].dataType.simpleString()}, __bounds array<double>")
-    unit = keyed_draw("dirichlet", F.lit(seed).cast("string"), F.col(row_key).cast("string")) / float(1 << 32)
-    joined = rows.join(F.broadcast(table), label).withColumn("__u", unit)
-    return joined.withColumn("client_id", F.least(F.size(F.filter("__bounds", lambda b: b <= F.col("__u"))), F.lit(clients - 1)).cast("int")).drop("__bounds", "__u")
-
-
 def fit_utility_split(rows: DataFrame, client: str, row_key: str, seed: int = 0, most: int = 4096) -> DataFrame:
     """``part``: 'utility' for min(ceil(n/10), most) rows of each client (at least 1, at most n - 1), else 'fit'."""
     n = F.count("*").over(Window.partitionBy(client))

@@ -84,10 +84,13 @@ def choose_threshold(grid: DataFrame, most_fpr: float = 0.05, cell: str = "cell_
     return ranked.withColumn("selection_rule", F.when(F.col("ok"), "FPR_FEASIBLE").otherwise("MIN_FPR")).drop("ok")
 
 
-def curves(predictions: DataFrame, cell: str = "cell_id", most: int = 201) -> DataFrame:
+def curves(predictions: DataFrame, cell: str = "cell_id", most: int = 201, collinear: bool = True) -> DataFrame:
     """(cell, curve, i, x, y, threshold): PR (rising threshold, end point without one) and ROC, thinned to ``most`` points.
 
-    All distinct scores are points; collinear ROC points aren't dropped. Endpoints always stay.
+    All distinct scores are points. Without ``collinear``, ROC points go before thinning
+    where the cumulative counts of both classes rise as much to the next score as from
+    the one before (no second difference), unless they are the first or last score.
+    Endpoints always stay.
     """
     counts = score_counts(predictions, cell)
     down = Window.partitionBy(cell).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,7 +102,14 @@ def curves(predictions: DataFrame, cell: str = "cell_id", most: int = 201) -> Da
     pr = base.select(cell, F.lit("PR").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"), F.col("p").alias("threshold")).unionByName(
         ends.select(cell, F.lit("PR").alias("curve"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"), none.alias("threshold"))
     )
-    roc = base.select(cell, F.lit("ROC").alias("curve"), F.col("fpr_").alias("x"), F.col("recall").alias("y"), F.col("p").alias("threshold")).unionByName(
+    turns = base
+    if not collinear:
+        bent = F.lit(False)
+        for c in ("tp", "fp"):
+            side = Window.partitionBy(cell).orderBy(F.desc("p"))
+            bent = bent | F.coalesce(F.lead(c).over(side) + F.lag(c).over(side) != 2 * F.col(c), F.lit(True))
+        turns = base.withColumn("bent", bent).where("bent")
+    roc = turns.select(cell, F.lit("ROC").alias("curve"), F.col("fpr_").alias("x"), F.col("recall").alias("y"), F.col("p").alias("threshold")).unionByName(
         ends.select(cell, F.lit("ROC").alias("curve"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), none.alias("threshold"))
     )
     place = F.when(F.col("curve") == "PR", F.coalesce("threshold", F.lit(float("inf")))).otherwise(-F.coalesce("threshold", F.lit(float("inf"))))

@@ -105,3 +105,38 @@ def group_bootstrap_auc(scored: DataFrame, group: str, target: str, resamples: i
     each = pairs.groupBy("b").agg(F.sum(F.col("w") * F.col("w2") * F.col("won")).alias("won")).join(one, "b").select(F.when(F.col("pos") * F.col("neg") > 0, F.col("won") / F.col("pos") / F.col("neg")).alias("auc"))
     q = F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975)))
     return each.where("auc is not null").agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+
+
+def group_aucs(scored: DataFrame, by: list[str], group: str, target: str = "y", score: str = "p") -> DataFrame:
+    """(by..., group, auc, positives, negatives): the AUC within each group of each attack; a group without both classes has none.
+
+    One Mann-Whitney over all attacks and groups: scores are summed up to distinct ones first.
+    """
+    keys = [*by, group]
+    counts = scored.groupBy(*keys, F.col(score).alias("__p")).agg(F.sum(F.col(target)).alias("__pos"), F.sum(1 - F.col(target)).alias("__neg"))
+    below = F.sum("__neg").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__neg") / 2.0
+    sums = counts.withColumn("__won", F.col("__pos") * below).groupBy(*keys).agg(F.sum("__won").alias("__won"), F.sum("__pos").alias("positives"), F.sum("__neg").alias("negatives"))
+    return sums.select(*keys, F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("__won") / F.col("positives") / F.col("negatives")).alias("auc"), "positives", "negatives")
+
+
+def worst_attackers(aucs_: DataFrame, attacker: str, by: list[str]) -> DataFrame:
+    """(by..., auc, attacker, tied): the greatest AUC over attackers, the first attacker that has it, and how many do.
+
+    Attackers without an AUC don't count; where none has one, neither has the result.
+    """
+    best = aucs_.groupBy(*by).agg(F.max("auc").alias("__best"))
+    met = aucs_.join(best, by, "inner")
+    return met.groupBy(*by).agg(
+        F.max("__best").alias("auc"), F.min(F.when(F.col("auc") == F.col("__best"), F.col(attacker))).alias(attacker), F.count_if(F.col("auc") == F.col("__best")).alias("tied")
+    )
+
+
+def auc_distribution(aucs_: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., auc, groups, share): the empirical distribution of the groups' AUCs, a step each distinct value.
+
+    Values are summed up first; groups without an AUC aren't in it.
+    """
+    steps = aucs_.where("auc IS NOT NULL").groupBy(*by, "auc").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*by)
+    upto = F.sum("__n").over(whole.orderBy("auc").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return steps.select(*by, "auc", upto.alias("groups"), (upto / F.sum("__n").over(whole)).alias("share"))

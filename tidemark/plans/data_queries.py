@@ -170,9 +170,6 @@ query("malicious_clients", f"SELECT client_id, CAST(row_number() OVER (ORDER BY
 )
 _FOLD = draw("'fold'", "'7'", "CAST(client_id AS VARCHAR)")
 query("group_folds", f"SELECT client_id, CAST((row_number() OVER (ORDER BY {_FOLD}, client_id) - 1) % 5 AS BIGINT) AS fold FROM (SELECT DISTINCT client_id FROM ({EVENTS}))")(lambda spark, sf: cohort.group_folds(events(spark, sf), "client_id", 5, 7))
-query("dirichlet_partition")(
-    lambda spark, sf: cohort.dirichlet_partition(flows(spark, sf), "label", "row_no", 10, 0.5, 42, 200).groupBy("client_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("benign"), F.count_if(F.col("label") == 1).alias("attack"))
-)
 _SUMMARY = f"SELECT client_id, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS benign, count(*) FILTER (WHERE event_type = 'error') AS attack FROM ({EVENTS}) GROUP BY client_id"
 
 

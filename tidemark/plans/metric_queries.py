@@ -68,6 +68,9 @@ o AS (SELECT *, row_number() OVER (PARTITION BY cell_id, curve ORDER BY CASE WHE
 k AS (SELECT DISTINCT cell_id, curve, CAST(floor(s * ((n - 1) / CAST(greatest(1, least(201, n) - 1) AS DOUBLE)) + 1e-9) AS BIGINT) AS i FROM (SELECT DISTINCT cell_id, curve, n FROM o), range(0, 201) r(s) WHERE s < least(201, n))
 SELECT o.cell_id AS cell_id, o.curve AS curve, o.i AS i, {r6('x', 'x')}, {r6('y', 'y')}, {r6('threshold', 'threshold')} FROM o JOIN k ON o.cell_id = k.cell_id AND o.curve = k.curve AND o.i = k.i"""
 query("pr_roc_curves", _CURVES)(lambda spark, sf: m.curves(predictions(spark, sf)))
+_BENT = " OR ".join(f"coalesce(lead({c}) OVER s + lag({c}) OVER s <> 2 * {c}, true)" for c in ("tp", "fp"))
+_BENT_CURVES = _CURVES.replace("WITH b AS", f"WITH t AS (SELECT * FROM (SELECT *, {_BENT} AS bent FROM ({_BASE}) WINDOW s AS (PARTITION BY cell_id ORDER BY p DESC)) WHERE bent), b AS", 1).replace("CAST(tp AS DOUBLE) / n1, p FROM b", "CAST(tp AS DOUBLE) / n1, p FROM t")
+query("bent_roc_curves", _BENT_CURVES)(lambda spark, sf: m.curves(predictions(spark, sf), collinear=False))
 
 query("class_weights", f"SELECT {r6('count(*) / (2.0::DOUBLE * greatest(1, count(*) FILTER (WHERE y = 0)))', 'w_benign')}, {r6('count(*) / (2.0::DOUBLE * greatest(1, count(*) FILTER (WHERE y = 1)))', 'w_attack')} FROM ({PREDICTIONS})")(
     lambda spark, sf: predictions(spark, sf).agg(*((F.count("*") / (2.0 * F.greatest(F.lit(1), F.count_if(F.col("y") == v)))).alias(n) for v, n in ((0, "w_benign"), (1, "w_attack"))))

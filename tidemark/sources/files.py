@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import tempfile
+import time
+import uuid
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.columns import normalized
@@ -94,6 +103,15 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_once(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Append a batch whose rows belong to ``keys`` (a cell and a round, say): a key that is there already is replaced.
+
+    A batch that is written again, or again after half of it, leaves each of its keys
+    once. Keys are folders, and only those that the batch has are touched.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One small JSON document; Spark's committer makes it appear whole or not at all."""
     df.coalesce(1).write.mode("overwrite").json(path)
@@ -103,3 +121,51 @@ def same_parts(a: DataFrame, b: DataFrame) -> bool:
     """Whether two part manifests (path, sha256) name the same contents: the test for reuse."""
     left, right = a.select("sha256").distinct(), b.select("sha256").distinct()
     return not left.exceptAll(right).limit(1).count() and not right.exceptAll(left).limit(1).count()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which the driver and all executors share; a temporary folder only for a local master without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def signature(inputs: DataFrame, columns: list[str], version: str) -> str:
+    """A digest of what a table is built from: contents of the inputs (path, sha256), kept columns, version of the code."""
+    line = F.concat_ws(" ", "path", "sha256")
+    parts = inputs.agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(line))), 256)).first()[0]
+    return hashlib.sha256(json.dumps([parts, columns, version]).encode()).hexdigest()
+
+
+def built_once(spark: SparkSession, root: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table of a signature: read if it is under ``root`` and whole, else built and published.
+
+    A build goes to a folder of its own; then one small commit file names that folder
+    and the digests of its parts, so a build that breaks off is never seen, on stores
+    without a rename too. A part that is gone or has other bytes makes a new build.
+    """
+    home = f"{root}/{key}"
+    try:
+        commits = spark.read.schema("build string, at long, parts array<string>").json(f"{home}/commits").orderBy(F.desc("at")).limit(1).collect()
+    except AnalysisException:
+        commits = []
+    for c in commits:
+        try:
+            if _part_digests(spark, f"{home}/{c.build}") == sorted(c.parts):
+                return spark.read.parquet(f"{home}/{c.build}")
+        except AnalysisException:
+            pass
+    name = uuid.uuid4().hex
+    build().write.parquet(f"{home}/{name}")
+    row = [(name, time.time_ns(), _part_digests(spark, f"{home}/{name}"))]
+    spark.createDataFrame(row, "build string, at long, parts array<string>").coalesce(1).write.mode("append").json(f"{home}/commits")
+    return spark.read.parquet(f"{home}/{name}")
+
+
+def _part_digests(spark: SparkSession, path: str) -> list[str]:
+    """One digest a part; parts are hashed where they are read."""
+    return sorted(r["sha256"] for r in file_manifest(spark, path, "part-*").select("sha256").collect())
