@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.functions.columns import canonical_beta, is_finite
+from tidemark.operators.metrics import choose_threshold, confusion_at, threshold_grid
 from tidemark.operators.stats import average_rank, run_hypotheses
 
 
@@ -14,6 +16,49 @@ def hypotheses_by_analysis(deltas: DataFrame, keys: list[str], family: list[str]
     return run_hypotheses(deltas, [analysis, *keys], [analysis, *family], resamples)
 
 
+def metrics_by_threshold(predictions: DataFrame, full: str = "Full-Contextual") -> DataFrame:
+    """(threshold_analysis, dataset, method, beta, seed, f1, pr_auc, fpr) of every cell at three thresholds.
+
+    ``method_specific`` is the threshold that the cell chooses, ``shared_full_threshold``
+    the one that the full method chose for the same dataset and seed (cells without such
+    a one have no row), ``fixed_0.5`` a half. ``predictions`` has the cell's four keys
+    (a null beta is a level), y and p.
+    """
+    keys = ["dataset", "method", "beta", "seed"]
+    cell = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys))
+    keyed = predictions.withColumn("cell_id", cell)
+    cells = keyed.select("cell_id", *keys).distinct()
+    chosen = choose_threshold(threshold_grid(keyed.select("cell_id", "y", "p"))).join(cells, "cell_id")
+    shared = chosen.where(F.col("method") == full).select("dataset", "seed", F.col("threshold").alias("__t"))
+    values = ("f1", "fpr")
+    own = chosen.select(F.lit("method_specific").alias("threshold_analysis"), "cell_id", *values)
+    common = confusion_at(keyed.join(shared, ["dataset", "seed"]), F.col("__t")).select(F.lit("shared_full_threshold").alias("threshold_analysis"), "cell_id", *values)
+    half = confusion_at(keyed, 0.5).select(F.lit("fixed_0.5").alias("threshold_analysis"), "cell_id", *values)
+    known = chosen.select("cell_id", *keys, "pr_auc")
+    return own.unionByName(common).unionByName(half).join(known, "cell_id").select("threshold_analysis", *keys, "f1", "pr_auc", "fpr")
+
+
+def manifest_deltas(metrics: DataFrame, manifest: DataFrame, ours: str = "CB-Score", full: str = "Full-Contextual") -> DataFrame:
+    """The paired deltas of a manifest's hypotheses, under every threshold analysis that ``metrics`` has.
+
+    ``manifest``: family, comparator, dataset, beta, endpoint, noninferiority. Ours meets
+    the comparator on analysis, dataset and seed, and on beta but for the full method,
+    which has none. A pair without both finite values is left out.
+    """
+    long = metrics.unpivot(["threshold_analysis", "dataset", "method", "beta", "seed"], ["f1", "pr_auc", "fpr"], "endpoint", "value").where(is_finite(F.col("value"))).withColumn("__b", canonical_beta(F.col("beta")))
+    asked = F.broadcast(manifest.withColumn("__b", canonical_beta(F.col("beta"))))
+    left = long.where(F.col("method") == ours).drop("method", "beta").join(asked, ["dataset", "endpoint", "__b"])
+    right = long.select("threshold_analysis", "dataset", "seed", "endpoint", F.col("method").alias("comparator"), F.when(F.col("method") == full, -1).otherwise(F.col("__b")).alias("__rb"), F.col("value").alias("__theirs"))
+    met = left.withColumn("__rb", F.when(F.col("comparator") == full, -1).otherwise(F.col("__b"))).join(right, ["threshold_analysis", "dataset", "seed", "endpoint", "comparator", "__rb"])
+    return met.select("threshold_analysis", "family", "comparator", "dataset", "beta", "endpoint", "noninferiority", "seed", (F.col("value") - F.col("__theirs")).alias("delta"))
+
+
+def manifest_results(metrics: DataFrame, manifest: DataFrame, resamples: int = 2000) -> DataFrame:
+    """Every manifest row under every threshold analysis with effect, bounds, p-values and decision; Holm's families stay inside an analysis."""
+    deltas = manifest_deltas(metrics, manifest)
+    return run_hypotheses(deltas, ["threshold_analysis", "family", "comparator", "dataset", "beta"], ["threshold_analysis", "family"], resamples)
+
+
 def threshold_distribution(chosen: DataFrame, cells: DataFrame, key: str = "cell_id") -> DataFrame:
     """A row a cell of the manifest: the threshold it chose on validation data, by which rule, and the metrics there."""
     return cells.join(chosen.select(key, "threshold", "selection_rule", *(F.col(v).alias(f"validation_{v}") for v in ("f1", "pr_auc", "fpr"))), key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import analysis, cohort, comms, metrics as m, privacy, reports
 from tidemark.plans import stat_queries as st
 from tidemark.plans.base import CANDIDATES, METRICS, PREDICTIONS, ROUNDS, candidates, metrics, predictions, query, r6, read, rounds
-from tidemark.plans.metric_queries import _CHOICE
+from tidemark.plans.metric_queries import _AUC, _CHOICE, _counts
 
 #: Threshold analyses stand for what counts as an alarm: the value above which a row is one.
 ANALYSES = {"method_specific": 80, "shared_full_threshold": 75, "fixed_0.5": 90}
@@ -168,3 +168,43 @@ query(
  {{'check': 'source_group_disjoint', 'passed': least_groups > 0, 'severity': 'fail'}}, {{'check': 'cohort_each_split_has_two_classes', 'passed': least_class > 0, 'severity': 'fail'}}, {{'check': 'transformed_cross_split_overlap_zero', 'passed': cross_split = 0, 'severity': 'fail'}},
  {{'check': 'all_processed_splits_nonempty', 'passed': least_rows > 0, 'severity': 'fail'}}, {{'check': 'client_partition_min_support', 'passed': least_client > 0, 'severity': 'fail'}}, {{'check': 'suspicious_features_reviewed', 'passed': suspicious = 0, 'severity': 'review'}}], recursive := true) FROM ({_TOTALS})""",
 )(lambda spark, sf: analysis.dataset_gates(_totals(spark, sf)))
+
+# The manifest's hypotheses at the real thresholds: events are predictions of 100 cells (two datasets, five methods with their betas, ten seeds).
+_CELLS = [("Full-Contextual", None), ("CB-Score", 0.2), ("CB-Score", 0.4), ("Utility-Only", 0.2), ("Utility-Only", 0.4)]
+_CELL_OF = " ".join(f"WHEN {i} THEN {{'m': '{m}', 'b': {'NULL' if b is None else b}::DOUBLE}}" for i, (m, b) in enumerate(_CELLS))
+_CELL_P = f"""SELECT dataset, c.m AS method, c.b AS beta, seed, y, p, concat_ws('|', dataset, c.m, coalesce(CAST(c.b AS VARCHAR), '-'), CAST(seed AS VARCHAR)) AS cell_id FROM
+ (SELECT 'D' || CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) % 2 AS VARCHAR) AS dataset, user_id % 10 AS seed, CASE event_id % 5 {_CELL_OF} END AS c, CAST(event_type = 'error' AS INT) AS y, value / 500 AS p FROM events)"""
+_MANIFEST = [
+    (f"{family}_CB_vs_Full", "Full-Contextual", d, b, endpoint, endpoint != "fpr") for family, endpoint in (("F1_NI", "f1"), ("PRAUC_NI", "pr_auc"), ("FPR_SAFETY", "fpr")) for d in ("D0", "D1") for b in (0.2, 0.4)
+] + [("SAME_BUDGET_F1", "Utility-Only", d, b, "f1", False) for d in ("D0", "D1") for b in (0.2, 0.4)]
+
+
+def _cell_predictions(spark, sf):
+    cell = F.element_at(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(b).cast("double").alias("b")) for m, b in _CELLS)), (F.col("event_id") % 5 + 1).cast("int"))
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    rows = read(spark, sf, "events").select(F.concat(F.lit("D"), (day % 2).cast("string")).alias("dataset"), (F.col("user_id") % 10).alias("seed"), cell.alias("c"), (F.col("event_type") == "error").cast("int").alias("y"), (F.col("value") / 500).alias("p"))
+    return rows.select("dataset", F.col("c.m").alias("method"), F.col("c.b").alias("beta"), "seed", "y", "p")
+
+
+def _manifest_results(spark, sf):
+    manifest = spark.createDataFrame(_MANIFEST, "family string, comparator string, dataset string, beta double, endpoint string, noninferiority boolean")
+    return analysis.manifest_results(analysis.metrics_by_threshold(_cell_predictions(spark, sf)), manifest, st._B)
+
+
+def _at(t: str, source: str) -> str:
+    return f"SELECT cell_id, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f1, fp / CAST(greatest(1, fp + tn) AS DOUBLE) AS fpr FROM (SELECT cell_id, {_counts(t)} FROM {source} GROUP BY cell_id)"
+
+
+_CHOSEN = _CHOICE.replace(PREDICTIONS, "SELECT * FROM cp")
+_M_LONG = f"""WITH cp AS MATERIALIZED ({_CELL_P}), cells AS (SELECT DISTINCT cell_id, dataset, method, beta, seed FROM cp), ch AS MATERIALIZED ({_CHOSEN}), pick AS (SELECT ch.*, dataset, method, beta, seed FROM ch JOIN cells USING (cell_id)),
+full_ AS (SELECT dataset, seed, threshold AS t FROM pick WHERE method = 'Full-Contextual'), met AS (SELECT 'method_specific' AS threshold_analysis, v.cell_id, v.f1, v.fpr FROM ({_at('t', '(SELECT cp.*, ch.threshold AS t FROM cp JOIN ch USING (cell_id))')}) v
+ UNION ALL SELECT 'shared_full_threshold', * FROM ({_at('t', '(SELECT cp.*, t FROM cp JOIN full_ USING (dataset, seed))')}) UNION ALL SELECT 'fixed_0.5', * FROM ({_at('0.5::DOUBLE', 'cp')})),
+au AS ({_AUC.replace(PREDICTIONS, 'SELECT * FROM cp')}), m AS MATERIALIZED (SELECT threshold_analysis, dataset, method, beta, seed, f1, pr_auc, fpr FROM met JOIN cells USING (cell_id) JOIN au USING (cell_id)),
+l AS (SELECT * FROM (SELECT threshold_analysis, dataset, method, beta, seed, unnest(['f1', 'pr_auc', 'fpr']) AS endpoint, unnest([f1, pr_auc, fpr]) AS v FROM m) WHERE v IS NOT NULL AND NOT isnan(v)),
+man(family, comparator, dataset, beta, endpoint, noninferiority) AS (VALUES {', '.join(f"('{f}', '{c}', '{d}', {b}::DOUBLE, '{e}', {str(n).lower()})" for f, c, d, b, e, n in _MANIFEST)}),
+deltas AS MATERIALIZED (SELECT a.threshold_analysis, family, comparator, man.dataset AS dataset, man.beta AS beta, a.seed AS seed, man.endpoint AS endpoint, noninferiority, a.v - b.v AS delta FROM man JOIN l a ON a.dataset = man.dataset AND a.endpoint = man.endpoint AND a.method = 'CB-Score' AND a.beta = man.beta
+ JOIN l b ON b.threshold_analysis = a.threshold_analysis AND b.dataset = a.dataset AND b.endpoint = a.endpoint AND b.seed = a.seed AND b.method = comparator AND (comparator = 'Full-Contextual' OR b.beta = man.beta))"""
+_M_DECISION = st._DECISION.replace(st._LONG, "SELECT * FROM deltas").replace("PARTITION BY comparator, endpoint", "PARTITION BY threshold_analysis, family").replace(st._K, f"threshold_analysis, family, {st._K}").replace("e.comparator = ", "e.threshold_analysis = {0}.threshold_analysis AND e.family = {0}.family AND e.comparator = ")
+_M_DECISION = _M_DECISION.replace("{0}", "h", 2).replace("{0}", "q")
+_M_COLUMNS = ["threshold_analysis", "family", *st._KEYS, "mean_delta", "paired_dz", "wins", "losses", "ties", "raw_p", "holm_adjusted_p", "decision"]
+query("manifest_hypotheses", f"{_M_LONG} SELECT {', '.join(r6(c, c) if c in ('mean_delta', 'paired_dz', 'raw_p', 'holm_adjusted_p') else c for c in _M_COLUMNS)} FROM ({_M_DECISION})")(lambda spark, sf: _manifest_results(spark, sf).select(*_M_COLUMNS))
