@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.columns import canonical_beta, is_finite
 from tidemark.operators.metrics import choose_threshold, confusion_at, threshold_grid
 from tidemark.operators.stats import average_rank, run_hypotheses
+from tidemark.sources.files import written
 
 
 def hypotheses_by_analysis(deltas: DataFrame, keys: list[str], family: list[str], resamples: int = 2000, analysis: str = "threshold_analysis") -> DataFrame:
@@ -28,7 +29,7 @@ def metrics_by_threshold(predictions: DataFrame, full: str = "Full-Contextual")
     cell = F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys))
     keyed = predictions.withColumn("cell_id", cell)
     cells = keyed.select("cell_id", *keys).distinct()
-    chosen = choose_threshold(threshold_grid(keyed.select("cell_id", "y", "p"))).join(cells, "cell_id")
+    chosen = written(choose_threshold(threshold_grid(keyed.select("cell_id", "y", "p"))).join(cells, "cell_id"))
     shared = chosen.where(F.col("method") == full).select("dataset", "seed", F.col("threshold").alias("__t"))
     values = ("f1", "fpr")
     own = chosen.select(F.lit("method_specific").alias("threshold_analysis"), "cell_id", *values)
@@ -55,7 +56,7 @@ def manifest_deltas(metrics: DataFrame, manifest: DataFrame, ours: str = "CB-Sco
 
 def manifest_results(metrics: DataFrame, manifest: DataFrame, resamples: int = 2000) -> DataFrame:
     """Every manifest row under every threshold analysis with effect, bounds, p-values and decision; Holm's families stay inside an analysis."""
-    deltas = manifest_deltas(metrics, manifest)
+    deltas = written(manifest_deltas(metrics, manifest))
     return run_hypotheses(deltas, ["threshold_analysis", "family", "comparator", "dataset", "beta"], ["threshold_analysis", "family"], resamples)
 
 

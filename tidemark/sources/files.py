@@ -134,6 +134,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared folder: a plan that reads them often is cut there and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def signature(inputs: DataFrame, columns: list[str], version: str) -> str:
     """A digest of what a table is built from: contents of the inputs (path, sha256), kept columns, version of the code."""
     line = F.concat_ws(" ", "path", "sha256")
