@@ -106,6 +106,7 @@ def test_integrity_helpers():
     assert normalized("  Flow   ID ") == "Flow ID" and folded(" Src-IP ") == "src_ip"
     assert integrity.label_column(["x", " Label "], ["class", "label"]) == " Label " and integrity.label_column(["x"], ["y"]) is None
     assert integrity.auto_drop(["Flow ID", "Dst MAC", "rate", "Date of"], {"rate"}, {"flow id"}, ["mac", "date"]) == {"Flow ID": "exact", "Dst MAC": "keyword:mac", "Date of": "keyword:date"}
+    assert integrity.auto_drop(["Flow-ID", "flow_id", " Src-Port", "time-stamp", "label"], {"src_port"}, {"flow_id"}, ["time-", "label"], "label") == {"Flow-ID": "exact", "flow_id": "exact", "time-stamp": "keyword:time-"}
     groups = [(f"g{i}", 100 + 10 * i, 50 + 5 * i) for i in range(8)]
     split = cohort.greedy_split(groups, {"train": 0.7, "validation": 0.15, "test": 0.15}, starts=50)
     assert set(split.values()) == {"train", "validation", "test"} and set(split) == {g[0] for g in groups}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.columns import to_number
+from tidemark.functions.columns import folded, to_number
 
 
 def dedup_index(rows: DataFrame, hash_col: str, order: list[str], label: str, payload: list[str]) -> DataFrame:
@@ -72,24 +72,28 @@ def flow_closure(stages: DataFrame, order: str = "stage") -> DataFrame:
     return stages.withColumn("expected_next", F.col("rows") - F.col("removed")).withColumn("closed", nxt.isNull() | (nxt == F.col("rows") - F.col("removed")))
 
 
-def auto_drop(columns: list[str], preserve: set[str], exact: set[str], keywords: list[str]) -> dict[str, str]:
-    """Columns to drop as leakage and why: preserved ones never, then exact names, then keywords inside names."""
+def auto_drop(columns: list[str], preserve: set[str], exact: set[str], keywords: list[str], label: str | None = None) -> dict[str, str]:
+    """Columns to drop as leakage and why: the label and preserved ones never, then exact names, then keywords inside names.
+
+    Preserved and exact names are folded on both sides (white space, case, dashes as
+    underscores); keywords are looked up in the trimmed, lower-cased name as it stands.
+    """
+    kept, named = {folded(x) for x in preserve}, {folded(x) for x in exact}
     out = {}
     for c in columns:
-        name = " ".join(c.split()).lower()
-        if name in preserve:
+        if c == label or folded(c) in kept:
             continue
-        if name in exact:
+        if folded(c) in named:
             out[c] = "exact"
-        elif hit := next((k for k in keywords if k in name), None):
+        elif hit := next((k for k in keywords if k.strip().lower() in c.strip().lower()), None):
             out[c] = f"keyword:{hit}"
     return out
 
 
 def label_column(columns: list[str], candidates: list[str]) -> str | None:
     """The first candidate that a column's folded name equals."""
-    by_name = {" ".join(c.split()).lower().replace("-", "_"): c for c in reversed(columns)}
-    return next((by_name[k] for x in candidates if (k := " ".join(x.split()).lower().replace("-", "_")) in by_name), None)
+    by_name = {folded(c): c for c in reversed(columns)}
+    return next((by_name[folded(x)] for x in candidates if folded(x) in by_name), None)
 
 
 def checks(conditions: list[tuple[str, Column, str]], totals: DataFrame) -> DataFrame:
