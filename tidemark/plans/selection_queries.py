@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import airtime_us, is_finite
 from tidemark.operators import comms, selection
-from tidemark.plans.base import CANDIDATES, RATES, ROUNDS, candidates, query, r6, rounds
+from tidemark.plans.base import CANDIDATES, RATES, ROUNDS, candidates, draw, query, r6, rounds
 
 BETA = 0.4
 _BUDGET = f"SELECT *, CAST(floor({BETA}::DOUBLE * sum(wire_bytes) OVER (PARTITION BY round)) AS BIGINT) AS budget FROM c"
@@ -64,7 +64,8 @@ z AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY value DESC, utili
 SELECT round, ids AS selected, used AS used_bytes, budget AS budget_bytes, {r6('CAST(used AS DOUBLE) / budget', 'budget_utilization')}, e AS static_eligible_count, r AS ranking_positive_count, ids = '' AS empty_round FROM z WHERE rn = 1""",
 )(lambda spark, sf: selection.select_clients(candidates(spark, sf), "Oracle-Score-Exact", ["round"], BETA))
 
-query("select_random_budget")(lambda spark, sf: selection.select_clients(candidates(spark, sf), "Random-Budget", ["round"], BETA, seed=42))
+_PRIORITY["Random-Budget"] = f"1.0::DOUBLE + {draw(chr(39) + 'order' + chr(39), chr(39) + '42' + chr(39), 'CAST(round AS VARCHAR)', 'CAST(client_id AS VARCHAR)')}"
+query("select_random_budget", _greedy_sql("Random-Budget"))(lambda spark, sf: selection.select_clients(candidates(spark, sf), "Random-Budget", ["round"], BETA, seed=42))
 
 query("eligibility", f"WITH c AS ({CANDIDATES}), b AS ({_BUDGET}) SELECT round, client_id, wire_bytes, budget, ({_ELIGIBLE}) AS eligible FROM b")(
     lambda spark, sf: selection.round_budgets(candidates(spark, sf), ["round"], BETA).select("round", "client_id", "wire_bytes", "budget", selection.static_eligible(F.col("budget")).alias("eligible"))
