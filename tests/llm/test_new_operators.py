@@ -140,9 +140,9 @@ def mined(rows, min_count, longest, top, percent):
     return sorted((lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for lang, found in out.items() for i, (s, a, p, left, right) in enumerate(sorted(found)[:top]))
 
 
-@pytest.mark.parametrize(("longest", "top", "percent", "few"), [(5, 2000, 100, 1 << 19), (3, 7, 60, 0), (2, 5, 100, 1 << 19), (5, 2000, 100, 0)])
+@pytest.mark.parametrize(("longest", "top", "percent", "few"), [(5, 2000, 100, 1 << 19), (3, 7, 60, 0), (2, 5, 100, 1 << 19), (5, 2000, 100, 0), (4, 50, 100, 60)])
 def test_phrases_equal_brute_force(spark, monkeypatch, longest, top, percent, few):
-    monkeypatch.setattr("tidemark.llm.collocations.FEW_NAMES", few)  # 0: always joined, never broadcast
+    monkeypatch.setattr("tidemark.llm.collocations.FEW_NAMES", few)  # 0: always joined, never broadcast; 60: joined after the words
     rng = np.random.default_rng(longest)
     vocabulary = ["a", "B", "cé", "\x00d", "e f", "ẞ", "g-h", "(i)", "Ä", "k" * 300]
     texts = ["".join(rng.choice(vocabulary, p=np.arange(10, 0, -1) / 55) + rng.choice([" ", "  ", "\t", ". ", ",", "\n", " ! "], p=[0.6, 0.1, 0.1, 0.05, 0.05, 0.05, 0.05]) for _ in range(60)) for _ in range(60)]
