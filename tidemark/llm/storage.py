@@ -32,9 +32,12 @@ BATCH, SPARKS_BATCH = "8388608b", "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Texts are passed to Python in smaller batches than Spark's: a worker's memory follows the batch."""
+    """Texts are passed to Python in smaller batches than Spark's: a worker's memory follows the batch.
+
+    Plans run after they are made, so the session keeps the setting; one that was set to another size stays.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) == SPARKS_BATCH:
+    if spark.conf.get(name) == SPARKS_BATCH:
         spark.conf.set(name, BATCH)
 
 
