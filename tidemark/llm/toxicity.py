@@ -209,9 +209,9 @@ def fit_lexicon(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, support: in
         if any(term[:k] in stems for k in STEM):
             continue
         if not r["stem"]:
-            words[term] = min(r["weight"], 8.0)
+            words[term] = r["weight"]
         elif r["toxic"] >= 2 * support and r["clean"] * 50 <= r["toxic"]:
-            stems[term] = min(r["weight"], 8.0)
+            stems[term] = r["weight"]
     lexicon = Lexicon(words, stems)
     if n_toxic and n_clean:
         phrases = _contexts(kept, lexicon).where((F.col("clean") >= exception_support) & (F.col("toxic") == 0))
@@ -242,11 +242,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
     their names cannot clash.
     """
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    n = known.count()
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, sample_rows / max(n, 1)))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # About sample_rows ids: their number is bounded by that parameter, so they may be broadcast.
-    lexicon = fit_lexicon(source.join(F.broadcast(known), "doc_id").select("text", "toxic"), sample_rows)
+    lexicon = _fitted(source, labels, sample_rows, id_col, label_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,8 +257,30 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, sample_rows: int =
     return source.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(score, f"doc_id {id_type}, held_out boolean, score double, predicted int, n_matches long")
 
 
-def keep_civil(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, that aren't predicted toxic (null ids stay)."""
-    id_col = options.get("id_col", "doc_id")
-    bad = toxicity_scores(documents, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, documents[id_col] == bad["__bad"], "left_anti")
+def _fitted(source: DataFrame, labels: DataFrame, sample_rows: int, id_col: str, label_col: str) -> Lexicon:
+    """The lexicon learned from the labelled rows of ``source`` (doc_id, text) that aren't held out."""
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
+    n = known.count()
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) <= int(1_000_003 * min(1.0, sample_rows / max(n, 1)))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # About sample_rows ids: their number is bounded by that parameter, so they may be broadcast.
+    return fit_lexicon(source.join(F.broadcast(known), "doc_id").select("text", "toxic"), sample_rows)
+
+
+def keep_civil(
+    documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"
+) -> DataFrame:
+    """The documents, with all their columns, whose text isn't predicted toxic.
+
+    Each row is decided by its own text as it is read, so rows that share an id, or
+    have none, don't stay or go for each other's.
+    """
+    source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lexicon, at = _fitted(source, labels, sample_rows, id_col, label_col), documents.columns.index(text_col)
+
+    def civil(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(at)
+            text = text if pa.types.is_string(text.type) else text.cast(pa.string())
+            yield batch.filter(pa.array([lexicon.score(lexicon.features(t)) < 0.5 for t in _values(text)], type=pa.bool_()))
+
+    return documents.mapInArrow(civil, documents.schema)
