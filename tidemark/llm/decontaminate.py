@@ -118,13 +118,28 @@ def contaminated(
     documents contain nothing. Repeated documents or items each give their rows.
     Columns other than those named are ignored, so their names cannot clash.
     """
+    return _contaminated(documents, items, k, threshold, id_col, text_col, item_id_col, item_text_col).drop("whole")
+
+
+def _contaminated(
+    documents: DataFrame,
+    items: DataFrame,
+    k: int = 5,
+    threshold: float = 0.8,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """``contaminated`` with ``whole``, the hash of the document's whole text."""
     spark = documents.sparkSession
     scratch = Scratch(spark)
-    source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    source = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("whole"))
     tests = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     id_type, item_type = source.schema["doc_id"].dataType.simpleString(), tests.schema["item_id"].dataType.simpleString()
     item_arrow = to_arrow_type(tests.schema["item_id"].dataType)
-    schema = f"doc_id {id_type}, item_id {item_type}, shared long, of long, containment double"
+    schema = f"doc_id {id_type}, item_id {item_type}, shared long, of long, containment double, whole long"
     size = tests.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     passes = max(1, -(-int(size) // ITEM_BLOCK_BYTES))
     out = spark.createDataFrame([], schema)
@@ -144,16 +159,17 @@ def contaminated(
             indexes = [(length, ItemIndex(sets)) for length, sets in sorted(held.value.items())]
             for batch in batches:
                 found = [(r, ix.sets[i][0], s, of) for length, ix in indexes for r, i, s, of in _search(ix, length, threshold, batch.column(1))]
-                rows = batch.column(0).take(pa.array([f[0] for f in found], type=pa.int64()))
+                at = pa.array([f[0] for f in found], type=pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows,
+                        batch.column(0).take(at),
                         pa.array([f[1] for f in found], type=item_arrow),
                         pa.array([f[2] for f in found], type=pa.int64()),
                         pa.array([f[3] for f in found], type=pa.int64()),
                         pa.array([f[2] / f[3] for f in found], type=pa.float64()),
+                        batch.column(2).take(at),
                     ],
-                    names=["doc_id", "item_id", "shared", "of", "containment"],
+                    names=["doc_id", "item_id", "shared", "of", "containment", "whole"],
                 )
 
         found = source.mapInArrow(search, schema)
@@ -165,6 +181,11 @@ def contaminated(
 
 
 def decontaminate(documents: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents, with all their columns, in which no item is found (null ids never match and stay)."""
-    bad = contaminated(documents, items, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, documents[options.get("id_col", "doc_id")] == bad["__bad"], "left_anti")
+    """The documents, with all their columns, in which no item is found.
+
+    A row goes by its id and whole text, so rows that share an id, or have none, don't
+    stay or go for each other's.
+    """
+    bad = _contaminated(documents, items, **options).select(F.col("doc_id").alias("__bad"), F.col("whole").alias("__whole")).distinct()
+    text = documents[options.get("text_col", "text")].cast("string")
+    return documents.join(bad, documents[options.get("id_col", "doc_id")].eqNullSafe(bad["__bad"]) & (F.xxhash64(text) == bad["__whole"]), "left_anti")
