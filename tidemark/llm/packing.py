@@ -212,7 +212,10 @@ def pack_sequences(documents: DataFrame, tokenizer_path: str, capacity: int = CA
 
     Null and empty texts are the one id 0. Repeated rows are packed each for itself.
     An empty table gives no rows. Columns other than the two named are ignored, so
-    their names cannot clash. Offsets within a sequence have no gaps.
+    their names cannot clash. Offsets within a sequence have no gaps. The count is
+    certified as least only where it reaches the bound: the exchange also ends after
+    ``STALLS`` deals that save nothing, and one part is packed once, as another deal
+    of it is the same.
     """
     scratch = Scratch(documents.sparkSession)
     cut = scratch.put(pieces(documents, tokenizer_path, capacity, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
