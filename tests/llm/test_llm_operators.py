@@ -16,9 +16,9 @@ from tidemark.llm.licenses import license_scan
 from tidemark.llm.linededup import drop_repeated_lines, line_classes
 from tidemark.llm.packing import pack_sequences
 from tidemark.llm.sharding import best_fit_decreasing, near_equal_shards, shard_by_bytes
-from tidemark.llm.storage import Scratch
+from tidemark.llm.storage import BATCH, Scratch
 from tidemark.llm.tokencount import token_counts
-from tidemark.llm.toxicity import Lexicon, fold, toxicity_scores
+from tidemark.llm.toxicity import Lexicon, fold, keep_civil, toxicity_scores
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long, node string, bucket int, root string"
@@ -319,3 +319,35 @@ the Free Software Foundation, either version 3 of the License, or"""
     texts = [mit, bsd, gpl, "before\n\n" + bsd.replace(" forms,", "\n forms,") + "\nafter", "\n".join(re.findall(r"\w+", bsd)), "\n".join(reversed(re.findall(r"\w+", bsd))), "\r\n".join(bsd.split("\n"))]
     got = {r.doc_id: (r.labels, r.score) for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("gpl", 1.0), 3: ("bsd", 1.0), 4: ("bsd", 1.0), 5: ("", 0.0), 6: ("bsd", 1.0)}
+
+
+def test_stages_decide_by_row(spark):
+    """Rows that share an id, or have none, neither stay nor go for each other's."""
+    item, clean = words(30, 601), [" ".join(words(80, s)) for s in (602, 603, 604)]
+    leaked = " ".join([*words(40, 605), *item, *words(40, 606)])
+    schema = "doc_id long, text string, whole string"
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, leaked, "a"), (1, clean[0], "b"), (None, leaked, "c"), (None, clean[1], "d"), (2, None, "e")], schema)
+    assert sorted(r.whole for r in decontaminate(docs, benchmark).collect()) == ["b", "d", "e"]
+    copies = spark.createDataFrame([(1, clean[0], "a"), (None, clean[0], "b"), (None, clean[0], "c"), (None, clean[1], "d"), (None, clean[1], "d"), (1, clean[2], "e"), (3, None, "f"), (4, None, "g"), (5, clean[2] + " end", "h")], schema)
+    kept = one_per_class(copies)
+    assert kept.columns == copies.columns and sorted(r.whole for r in kept.collect()) == ["a", "d", "e", "f"]
+    toxic = [(200 + i, " ".join([*words(30, 500 + i), "moronic", "scumbag"]), "t") for i in range(60)]
+    fine = [(i, " ".join(words(60, i)), "f") for i in range(100, 160)]
+    odd = [(None, toxic[0][1], "u"), (None, clean[0], "v"), (100, toxic[1][1], "w"), (901, None, "x")]
+    labels = spark.createDataFrame([(i, 1) for i, *_ in toxic] + [(i, 0) for i, *_ in fine], "doc_id long, toxic int")
+    assert [r.whole for r in keep_civil(spark.createDataFrame([*toxic, *fine, *odd], schema), labels).where("whole > 'u' or whole in ('t', 'u')").orderBy("whole").collect()] == ["v", "x"]
+
+
+def test_batches_of_texts_are_small(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        Scratch(spark)
+        assert spark.conf.get(name) == BATCH
+        spark.conf.set(name, "1048576b")
+        Scratch(spark)
+        assert spark.conf.get(name) == "1048576b"
+    finally:
+        spark.conf.set(name, own)
