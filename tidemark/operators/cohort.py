@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.functions.columns import keyed_draw
+from tidemark.operators.ranks import first_rows, running
 
 
 def largest_remainder(strata: DataFrame, total: int, weight: str, available: str, keys: list[str], group: list[str] | None = None) -> DataFrame:
@@ -29,8 +30,7 @@ def largest_remainder(strata: DataFrame, total: int, weight: str, available: str
 
 def stratified_top(rows: DataFrame, strata: list[str], quotas: DataFrame, order: list[str]) -> DataFrame:
     """The first ``quota`` rows of each stratum by ``order``; strata without a quota give none."""
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
-    return ranked.join(F.broadcast(quotas.select(*strata, "quota")), strata).where("__rn <= quota").drop("__rn", "quota")
+    return first_rows(rows, strata, order, quotas)
 
 
 def bottom_k(rows: DataFrame, hash_col: str, k: int) -> DataFrame:
@@ -137,10 +137,11 @@ def least_loaded(groups: DataFrame, clients: int, size: str = "n", key: str = "g
 
 def fit_utility_split(rows: DataFrame, client: str, row_key: str, seed: int = 0, most: int = 4096) -> DataFrame:
     """``part``: 'utility' for min(ceil(n/10), most) rows of each client (at least 1, at most n - 1), else 'fit'."""
-    n = F.count("*").over(Window.partitionBy(client))
+    draw = keyed_draw("fit", F.lit(seed).cast("string"), F.col(row_key).cast("string"))
+    ranked = running(rows.withColumns({"__order": F.struct(draw.alias("draw"), F.col(row_key).alias("key")), "__one": F.lit(1)}), [client], "__order", ["__one"])
+    n = F.col("__one_all")
     take = F.least(F.greatest(F.least(F.ceil(n / 10), F.lit(most)), F.lit(1)), n - 1)
-    rank = F.row_number().over(Window.partitionBy(client).orderBy(keyed_draw("fit", F.lit(seed).cast("string"), F.col(row_key).cast("string")), row_key))
-    return rows.withColumn("part", F.when(rank <= take, "utility").otherwise("fit"))
+    return ranked.select(*rows.columns, F.when(F.col("__one_upto") <= take, "utility").otherwise("fit").alias("part"))
 
 
 def malicious_clients(clients: DataFrame, seed: int, share: float = 0.3, key: str = "client_id") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.ranks import running
+
 NAN = float("nan")
 
 
@@ -45,12 +47,15 @@ def confusion_at(predictions: DataFrame, threshold, cell: str = "cell_id") -> Da
     return counts.withColumns(metric_columns(*(F.col(c) for c in ("tp", "fp", "fn", "tn"))))
 
 
+def _from(c: str) -> Column:
+    """The sum over a score and all above it, from running sums."""
+    return F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
+
+
 def aucs(predictions: DataFrame, cell: str = "cell_id") -> DataFrame:
     """ROC-AUC (ties count half) and average precision per cell; NaN where a class is missing."""
-    counts = score_counts(predictions, cell)
-    up = Window.partitionBy(cell).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = Window.partitionBy(cell).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.select(cell, "pos", "neg", (F.sum("neg").over(up) - F.col("neg")).alias("below"), F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"))
+    counts = running(score_counts(predictions, cell), [cell], "p", ["pos", "neg"])
+    ranked = counts.select(cell, "pos", "neg", (F.col("neg_upto") - F.col("neg")).alias("below"), _from("pos").alias("tp"), _from("neg").alias("fp"))
     sums = ranked.groupBy(cell).agg(
         F.sum("pos").alias("n1"), F.sum("neg").alias("n0"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap")
     )
@@ -92,27 +97,31 @@ def curves(predictions: DataFrame, cell: str = "cell_id", most: int = 201, colli
     the one before (no second difference), unless they are the first or last score.
     Endpoints always stay.
     """
-    counts = score_counts(predictions, cell)
-    down = Window.partitionBy(cell).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(cell)
-    base = counts.select(cell, "p", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("n1"), F.sum("neg").over(whole).alias("n0"))
+    counts = running(score_counts(predictions, cell).withColumn("one", F.lit(1)), [cell], "p", ["pos", "neg", "one"], ["pos", "neg"])
+    base = counts.withColumns({"tp": _from("pos"), "fp": _from("neg"), "n1": F.col("pos_all"), "n0": F.col("neg_all")})
     base = base.withColumns({"recall": _ratio(F.col("tp"), F.col("n1")), "precision": F.col("tp") / (F.col("tp") + F.col("fp")), "fpr_": _ratio(F.col("fp"), F.col("n0"))})
-    ends = base.select(cell).distinct()
-    none = F.lit(None).cast("double")
-    pr = base.select(cell, F.lit("PR").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"), F.col("p").alias("threshold")).unionByName(
-        ends.select(cell, F.lit("PR").alias("curve"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"), none.alias("threshold"))
-    )
+    none, highest = F.lit(None).cast("double"), F.col("one_upto") == F.col("one_all")
+
+    def points(rows: DataFrame, curve: str, x: str, y: str, i: Column) -> DataFrame:
+        return rows.select(cell, F.lit(curve).alias("curve"), F.col(x).alias("x"), F.col(y).alias("y"), F.col("p").alias("threshold"), i.alias("i"), (F.col("one_all") + 1).alias("n"))
+
+    def end(rows: DataFrame, curve: str, y: float, i: Column) -> DataFrame:  # one row a cell, by its highest score
+        return rows.where(highest).select(cell, F.lit(curve).alias("curve"), F.lit(0.0).alias("x"), F.lit(y).alias("y"), none.alias("threshold"), i.alias("i"), (F.col("one_all") + 1).alias("n"))
+
     turns = base
     if not collinear:
+        # Towards lower scores: a count rises by its own at this score, and by that of the score before in rising order at the next.
         bent = F.lit(False)
-        for c in ("tp", "fp"):
-            side = Window.partitionBy(cell).orderBy(F.desc("p"))
-            bent = bent | F.coalesce(F.lead(c).over(side) + F.lag(c).over(side) != 2 * F.col(c), F.lit(True))
-        turns = base.withColumn("bent", bent).where("bent")
-    roc = turns.select(cell, F.lit("ROC").alias("curve"), F.col("fpr_").alias("x"), F.col("recall").alias("y"), F.col("p").alias("threshold")).unionByName(
-        ends.select(cell, F.lit("ROC").alias("curve"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), none.alias("threshold"))
-    )
-    place = F.when(F.col("curve") == "PR", F.coalesce("threshold", F.lit(float("inf")))).otherwise(-F.coalesce("threshold", F.lit(float("inf"))))
-    points = pr.unionByName(roc).withColumn("i", F.row_number().over(Window.partitionBy(cell, "curve").orderBy(place)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(cell, "curve")))
-    steps = F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.col("n")).cast("int") - 1), lambda k: F.floor(k * ((F.col("n") - 1) / F.greatest(F.lit(1), F.least(F.lit(most), F.col("n")) - 1)) + 1e-9).cast("int"))
-    return points.where(F.array_contains(steps, F.col("i"))).select(cell, "curve", "i", "x", "y", "threshold")
+        for c in ("pos", "neg"):
+            bent = bent | F.coalesce(F.col(f"{c}_before") != F.col(c), F.lit(True))
+        turns = running(base.where(bent | highest).drop("one_upto", "one_all"), [cell], "p", ["one"])
+    pr = points(base, "PR", "recall", "precision", F.col("one_upto") - 1).unionByName(end(base, "PR", 1.0, F.col("one_all")))
+    roc = points(turns, "ROC", "fpr_", "recall", F.col("one_all") - F.col("one_upto") + 1).unionByName(end(turns, "ROC", 0.0, F.lit(0).cast("long")))
+    # Point k of those that stay is number floor(k * step): whether i is such a number shows near i / step.
+    last = F.least(F.lit(most), F.col("n")) - 1
+    step = (F.col("n") - 1) / F.greatest(F.lit(1), last)
+    stays = F.lit(False)
+    for d in (-1, 0, 1):
+        k = F.floor(F.col("i") / step) + d
+        stays = stays | ((k >= 0) & (k <= last) & (F.floor(k * step + 1e-9) == F.col("i")))
+    return pr.unionByName(roc).where(stays).select(cell, "curve", F.col("i").cast("int").alias("i"), "x", "y", "threshold")

@@ -4,23 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidemark.operators.ranks import exact_quantiles
+
 MISSING, UNKNOWN = "__MISSING__", "__UNK__"
 
 
 def robust_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, median, lo, hi, iqr, std, scale): clip bounds at .005 and .995; scale is IQR, else std, else 1."""
-    aggs = []
-    for c in columns:
-        x = F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-        aggs += [F.percentile(x, F.array(*(F.lit(q) for q in (0.5, 0.005, 0.995, 0.25, 0.75)))).alias(f"q_{c}"), F.stddev_pop(x).alias(f"s_{c}")]
-    one = rows.agg(*aggs)
-    items = []
-    for c in columns:
-        q, s = F.col(f"q_{c}"), F.col(f"s_{c}")
-        iqr = q[4] - q[3]
-        scale = F.when(iqr > 1e-12, iqr).when(s > 1e-12, s).otherwise(1.0)
-        items.append(F.struct(F.lit(c).alias("feature"), q[0].alias("median"), q[1].alias("lo"), q[2].alias("hi"), iqr.alias("iqr"), s.alias("std"), scale.alias("scale")))
-    return one.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    spread = rows.agg(*(F.stddev_pop(number(c)).alias(f"s{i}") for i, c in enumerate(columns)))
+    spread = spread.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(f"s{i}").alias("std")) for i, c in enumerate(columns)))).alias("x")).select("x.*")
+    q, s = F.col("q"), F.col("std")
+    iqr = q[4] - q[3]
+    scale = F.when(iqr > 1e-12, iqr).when(s > 1e-12, s).otherwise(1.0)
+    joined = spread.join(exact_quantiles(rows, columns, [0.5, 0.005, 0.995, 0.25, 0.75]), "feature", "left")
+    return joined.select("feature", q[0].alias("median"), q[1].alias("lo"), q[2].alias("hi"), iqr.alias("iqr"), "std", scale.alias("scale"))
 
 
 def vocabulary(rows: DataFrame, column: str, most: int = 50) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import keyed_draw
 from tidemark.operators.metrics import aucs
+from tidemark.operators.ranks import running
 
 RAW = ("utility", "wire_bytes", "n_fit", "eligible")
 
@@ -114,7 +115,8 @@ def group_aucs(scored: DataFrame, by: list[str], group: str, target: str = "y",
     """
     keys = [*by, group]
     counts = scored.groupBy(*keys, F.col(score).alias("__p")).agg(F.sum(F.col(target)).alias("__pos"), F.sum(1 - F.col(target)).alias("__neg"))
-    below = F.sum("__neg").over(Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__neg") / 2.0
+    counts = running(counts, keys, "__p", ["__neg"])
+    below = F.col("__neg_upto") - F.col("__neg") / 2.0
     sums = counts.withColumn("__won", F.col("__pos") * below).groupBy(*keys).agg(F.sum("__won").alias("__won"), F.sum("__pos").alias("positives"), F.sum("__neg").alias("negatives"))
     return sums.select(*keys, F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.col("__won") / F.col("positives") / F.col("negatives")).alias("auc"), "positives", "negatives")
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.columns import canonical_beta, keyed_draw
+from tidemark.operators.ranks import running
 
 #: Non-inferiority margins by endpoint.
 MARGINS = {"f1": 0.02, "pr_auc": 0.02, "fpr": 0.0025}
@@ -89,9 +90,8 @@ def run_hypotheses(deltas: DataFrame, keys: list[str], family: list[str], resamp
 
 def average_rank(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """``out``: the average rank among the keys' rows. Only distinct values are sorted, with their counts; rows get theirs by a join."""
-    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    ranks = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, value])), (F.sum("__n").over(up) - F.col("__n") + (F.col("__n") + 1) / 2.0).alias(out))
+    counts = running(rows.groupBy(*keys, value).agg(F.count("*").alias("__n")), keys, value, ["__n"])
+    ranks = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, value])), (F.col("__n_upto") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias(out))
     same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(ranks[f"__k{i}"]) for i, k in enumerate([*keys, value])))
     return rows.join(ranks, same).drop(*(f"__k{i}" for i in range(len(keys) + 1)))
 

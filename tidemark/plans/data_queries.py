@@ -195,7 +195,7 @@ def _stats_sql(c: str) -> str:
 _STATS = " UNION ALL ".join(map(_stats_sql, _NUM))
 query("robust_stats", f"SELECT feature, {', '.join(r6(c, c) for c in ('median', 'lo', 'hi', 'iqr', 'std', 'scale'))} FROM ({_STATS})")(lambda spark, sf: prep.robust_stats(read(spark, sf, "lineitem"), _NUM))
 query("scaled_features", f"WITH s AS ({_STATS}) SELECT l_orderkey * 10 + l_linenumber AS row_no, " + ", ".join(r6(f"CAST((least(greatest({c}, (SELECT lo FROM s WHERE feature = '{c}')), (SELECT hi FROM s WHERE feature = '{c}')) - (SELECT median FROM s WHERE feature = '{c}')) / (SELECT scale FROM s WHERE feature = '{c}') AS FLOAT)", c) for c in ("l_quantity", "l_discount")) + " FROM lineitem")(
-    lambda spark, sf: prep.scale_numeric(read(spark, sf, "lineitem"), prep.robust_stats(read(spark, sf, "lineitem"), _NUM), ["l_quantity", "l_discount"]).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), "l_quantity", "l_discount")
+    lambda spark, sf: prep.scale_numeric(read(spark, sf, "lineitem"), prep.robust_stats(read(spark, sf, "lineitem"), ["l_quantity", "l_discount"]), ["l_quantity", "l_discount"]).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"), "l_quantity", "l_discount")
 )
 _VOCAB = "SELECT '__MISSING__' AS value, 0 AS idx UNION ALL SELECT '__UNK__', 1 UNION ALL SELECT value, CAST(row_number() OVER (ORDER BY n DESC, value) + 1 AS INT) FROM (SELECT p_brand AS value, count(*) AS n FROM part WHERE p_brand IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 10)"
 query("vocabulary_top_n", f"SELECT 'p_brand' AS feature, value, CAST(idx AS BIGINT) AS idx FROM ({_VOCAB})")(lambda spark, sf: prep.vocabulary(read(spark, sf, "part"), "p_brand", 10))
