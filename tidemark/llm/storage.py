@@ -28,7 +28,7 @@ ONE_TASK = 50_000
 
 
 #: Bytes of one batch of texts on its way to Python, where the session has Spark's own limit (64 MB).
-BATCH, SPARKS_BATCH = "8388608b", "67108864b"
+BATCH, SPARKS_BATCH = "4194304b", "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
