@@ -88,24 +88,31 @@ def fold_aucs(scored: DataFrame, target: str, fold: str) -> DataFrame:
     return whole.crossJoin(aucs(base).where(~F.isnan("roc_auc")).agg(F.avg("roc_auc").alias("mean_fold_auc")))
 
 
-def group_bootstrap_auc(scored: DataFrame, group: str, target: str, resamples: int = 2000, seed: str = "auc") -> DataFrame:
-    """(low, high): percentile bounds of the AUC over resamples of whole groups, each weighted by its draws."""
+def group_bootstrap_auc(scored: DataFrame, group: str, target: str, resamples: int = 2000, seed: str = "auc", by: list[str] | None = None) -> DataFrame:
+    """(by..., low, high): percentile bounds of the AUC over resamples of whole groups, each weighted by its draws.
+
+    With ``by``, each of its cells has bounds of its own; a resample draws the same groups in all of them.
+    """
+    by = by or []
     groups = scored.select(group).distinct().agg(F.array_sort(F.collect_list(group)).alias("g")).withColumn("n", F.size("g"))
     draws = groups.select(F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"), "g", "n").select("b", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda j: F.element_at("g", (keyed_draw(seed, F.col("b").cast("string"), j.cast("string")) % F.col("n") + 1).cast("int")))).alias(group))
     weights = draws.groupBy("b", group).agg(F.count("*").alias("w"))
     # Pairs of groups won: the positives of one against the negatives of another. Resamples only weigh these few numbers.
-    counts = scored.groupBy(group, "p").agg(F.sum(F.col(target)).alias("pos"), F.sum(1 - F.col(target)).alias("neg"))
-    grid = counts.select("p").distinct().crossJoin(counts.select(F.col(group).alias("other")).distinct())
-    other = counts.select("p", F.col(group).alias("other"), "neg")
-    up = Window.partitionBy("other").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = grid.join(other, ["p", "other"], "left").na.fill(0, ["neg"]).withColumn("under", F.sum("neg").over(up) - F.col("neg") / 2.0)
-    won = counts.where("pos > 0").select("p", group, "pos").join(below, "p").groupBy(group, "other").agg(F.sum(F.col("pos") * F.col("under")).alias("won"))
-    sizes = counts.groupBy(group).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    one = weights.join(sizes, group).groupBy("b").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
+    counts = scored.groupBy(*by, group, "p").agg(F.sum(F.col(target)).alias("pos"), F.sum(1 - F.col(target)).alias("neg"))
+    others = counts.select(*by, F.col(group).alias("other")).distinct()
+    values = counts.select(*by, "p").distinct()
+    grid = values.join(others, by) if by else values.crossJoin(others)
+    other = counts.select(*by, "p", F.col(group).alias("other"), "neg")
+    up = Window.partitionBy(*by, "other").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = grid.join(other, [*by, "p", "other"], "left").na.fill(0, ["neg"]).withColumn("under", F.sum("neg").over(up) - F.col("neg") / 2.0).drop("neg")
+    won = counts.where("pos > 0").select(*by, "p", group, "pos").join(below, [*by, "p"]).groupBy(*by, group, "other").agg(F.sum(F.col("pos") * F.col("under")).alias("won"))
+    sizes = counts.groupBy(*by, group).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    one = weights.join(sizes, group).groupBy(*by, "b").agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
     pairs = weights.join(won, group).join(weights.select("b", F.col(group).alias("other"), F.col("w").alias("w2")), ["b", "other"])
-    each = pairs.groupBy("b").agg(F.sum(F.col("w") * F.col("w2") * F.col("won")).alias("won")).join(one, "b").select(F.when(F.col("pos") * F.col("neg") > 0, F.col("won") / F.col("pos") / F.col("neg")).alias("auc"))
+    each = pairs.groupBy(*by, "b").agg(F.sum(F.col("w") * F.col("w2") * F.col("won")).alias("won")).join(one, [*by, "b"])
+    each = each.select(*by, F.when(F.col("pos") * F.col("neg") > 0, F.col("won") / F.col("pos") / F.col("neg")).alias("auc"))
     q = F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975)))
-    return each.where("auc is not null").agg(q.alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    return each.where("auc is not null").groupBy(*by).agg(q.alias("q")).select(*by, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def group_aucs(scored: DataFrame, by: list[str], group: str, target: str = "y", score: str = "p") -> DataFrame:

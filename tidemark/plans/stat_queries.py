@@ -186,6 +186,28 @@ def _attack(spark, sf):
 
 query("attribute_inference_auc")(_attack)
 
+
+def _attack_grid(spark, sf):
+    """Every view, target and attacker over the candidates: the larger half of a round by rows and by share of errors."""
+    from tidemark.operators import attackers
+    from tidemark.operators.cohort import group_folds
+
+    rows = _records(spark, sf)
+    share = rows.withColumn("share", F.col("utility_attack") / F.col("n_utility"))
+    sized = privacy.above_median(rows, ["round"], "n_fit", "larger").select(*_PK, "larger")
+    targets = privacy.above_median(share, ["round"], "share", "attacked").select(*_PK, "attacked").join(sized, _PK)
+    views = {
+        "Raw": (privacy.view_raw(rows, _PK), ["round", "utility", "wire_bytes", "n_fit", "eligible"], "client_id"),
+        "Noisy-Quantized": (privacy.view_noisy_quantized(rows, _PK), ["utility", "wire_bytes", "n_fit"], None),
+        "No-Size": (privacy.view_no_size(rows, _PK), ["utility", "wire_bytes"], None),
+        "Minimal-Bucketed": (privacy.view_bucketed(rows.withColumn("cell", F.lit(0)), _PK, ["cell"]), ["utility_bucket", "cost_bucket"], None),
+    }
+    table = attackers.fold_table(views, targets, ["larger", "attacked"], _PK, "client_id", group_folds(rows, "client_id", 5, 7))
+    return attackers.attack_grid(attackers.attack_scores(table, _PK, seed=7), "client_id")
+
+
+query("attack_grid")(_attack_grid)
+
 _GB = 2000
 _GB_DRAW = draw("'auc'", "CAST(b AS VARCHAR)", "CAST(j AS VARCHAR)")
 query(
