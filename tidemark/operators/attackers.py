@@ -74,7 +74,8 @@ def fold_table(views: dict[str, tuple[DataFrame, list[str], str | None]], target
     weight = F.col("n") / (2.0 * F.when(F.col("y") == 1, F.col("ones")).otherwise(F.col("n") - F.col("ones")))
     path = f"{shared_folder(spark)}/folds-{uuid.uuid4().hex}"
     out = rows.select("view", "target", "fit", "held", *keys, "y", F.when(~F.col("held"), weight).alias("w"), "raw", "scaled")
-    out.write.parquet(path)
+    # A folder a fit, so that a fit reads its own rows only; the hint splits large fits and puts small ones in one file.
+    out.hint("rebalance", *_FIT).write.partitionBy(*_FIT).parquet(path)
     return spark.read.schema(out.schema).parquet(path)
 
 
@@ -165,7 +166,7 @@ def _spark_scores(table: DataFrame, keys: list[str], attacker: str, seed: int, s
         p = vector_to_array("probability")
         return fitted.transform(mine.where("held")).select(*_FIT, *keys, "y", F.when(F.size(p) > 1, p[1]).otherwise(0.0).alias("p"))
 
-    cells = ready.select(*_FIT, "d").distinct().orderBy(*_FIT).collect()
+    cells = ready.where("not held").groupBy(*_FIT).agg(F.max("d").alias("d")).orderBy(*_FIT).collect()
     with ThreadPoolExecutor(parallelism) as pool:
         parts = list(pool.map(one, cells))
     out = parts[0]

@@ -188,7 +188,10 @@ query("attribute_inference_auc")(_attack)
 
 
 def _attack_grid(spark, sf):
-    """Every view, target and attacker over the candidates: the larger half of a round by rows and by share of errors."""
+    """Every view and target by the logistic attacker: the larger half of a round's candidates by rows and by share of errors.
+
+    Forests and networks are some forty fits of Spark ML each, minutes on a small machine; ``attack_scores`` runs them.
+    """
     from tidemark.operators import attackers
     from tidemark.operators.cohort import group_folds
 
@@ -203,7 +206,7 @@ def _attack_grid(spark, sf):
         "Minimal-Bucketed": (privacy.view_bucketed(rows.withColumn("cell", F.lit(0)), _PK, ["cell"]), ["utility_bucket", "cost_bucket"], None),
     }
     table = attackers.fold_table(views, targets, ["larger", "attacked"], _PK, "client_id", group_folds(rows, "client_id", 5, 7))
-    return attackers.attack_grid(attackers.attack_scores(table, _PK, seed=7), "client_id")
+    return attackers.attack_grid(attackers.attack_scores(table, _PK, ("LogisticRegression",)), "client_id")
 
 
 query("attack_grid")(_attack_grid)
