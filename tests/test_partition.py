@@ -249,3 +249,19 @@ def test_roc_without_collinear_points(spark):
         bent = [b for i, b in enumerate(points) if i in (0, len(points) - 1) or any(points[i - 1][k] + points[i + 1][k] != 2 * b[k] for k in (0, 1))]
         assert got[c] == [(0.0, 0.0, None)] + [(f / n0 if n0 else 0.0, t / n1 if n1 else 0.0, p) for t, f, p in bent]
         assert c == 3 and len(bent) < len(points) or c < 3
+
+
+@pytest.mark.parametrize("lines", [1, 3])
+def test_csv_rows_in_blocks_of_few_lines(spark, tmp_path, monkeypatch, lines):
+    """No window holds more than a block's lines; blocks of a split go on where the last one ended."""
+    from tidemark.sources import csv_rows
+
+    monkeypatch.setattr(csv_rows, "LINES", lines)
+    monkeypatch.setattr(csv_rows, "NUMBERED_TOGETHER", 2)
+    test_csv_rows_in_any_split(spark, tmp_path, "1g")
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain" / "x.csv").write_text("p,q,r\n" + "a,b,c\n" * 40)
+    blocks = []
+    monkeypatch.setattr(csv_rows, "_after", lambda df, *keys, after=csv_rows._after: (blocks.append(after(df, *keys)), blocks[-1])[1])
+    csv_records(spark, str(tmp_path / "plain"))
+    assert max(r["count"] for r in blocks[0].groupBy("source_file", "block", "piece").count().collect()) <= lines

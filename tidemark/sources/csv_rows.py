@@ -4,16 +4,17 @@ Files are read as lines, in as many splits as Spark likes. Whether a line begins
 a quoted field depends on all lines before it, but a line only ever maps the two states
 (outside, inside) to two states, and such maps can be put together in any grouping: so
 states are found within the blocks of a file first, then over the few blocks, and so
-are numbers of records and rows. A block is a split's part of one file, so what one task
-orders is bounded by ``spark.sql.files.maxPartitionBytes``.
+are numbers of records and rows. A block is up to ``LINES`` lines of a split's part of one
+file: several windows hold a block at once in a task, at some hundred bytes a line, and can't
+spill it for one another. What a task orders is bounded by that.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-#: Records of a file that are numbered together.
-NUMBERED_TOGETHER = 1 << 17
+#: Lines of a block, and records of a file that are numbered together.
+LINES, NUMBERED_TOGETHER = 1 << 15, 1 << 15
 
 _FIELD = r'"[^"]*+(?:""[^"]*+)*+"'
 _REST = r'^[^"]*+(?:""[^"]*+)*+"'
@@ -31,13 +32,13 @@ def line_states(line: Column) -> tuple[Column, Column]:
     return F.when(quoted, _ends_inside(line)).otherwise(False).cast("int"), F.when(quoted, closed).otherwise(True).cast("int")
 
 
-def _after(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _after(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """``a0`` and ``a1``: the state after each row if the first of its keys begins outside or inside.
 
     A row keeps the state, flips it or sets it: the state is what the last setting row
     gave, flipped as often as rows flip after it.
     """
-    by = Window.partitionBy(*keys).orderBy(order)
+    by = Window.partitionBy(*keys).orderBy(*order)
     upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = df.withColumn("__flips", F.sum(F.when((F.col("t0") == 1) & (F.col("t1") == 0), 1).otherwise(0)).over(upto) % 2)
     held = counted.withColumn("__set", F.last(F.when(F.col("t0") == F.col("t1"), (F.col("t0") + F.col("__flips")) % 2), ignorenulls=True).over(upto))
@@ -53,18 +54,20 @@ def csv_records(spark: SparkSession, paths) -> DataFrame:
     read = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(paths)
     lines = read.select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
     t0, t1 = line_states(F.col("value"))
-    own = _after(lines.withColumns({"t0": t0, "t1": t1}), ["source_file", "block"], "line")
-    ordered = Window.partitionBy("source_file", "block").orderBy("line")
+    # A split's lines have consecutive numbers, so pieces of a split stand in the order of its lines.
+    block = ["source_file", "block", "piece"]
+    own = _after(lines.withColumns({"t0": t0, "t1": t1, "piece": F.floor(F.col("line") / LINES)}), block, "line")
+    ordered = Window.partitionBy(*block).orderBy("line")
     own = own.withColumns({"b0": F.coalesce(F.lag("a0").over(ordered), F.lit(0)), "b1": F.coalesce(F.lag("a1").over(ordered), F.lit(1))})
     starts = lambda b: F.sum(1 - F.col(b)).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     own = own.withColumns({"n0": starts("b0"), "n1": starts("b1")})
-    blocks = own.groupBy("source_file", "block").agg(F.max_by("a0", "line").alias("t0"), F.max_by("a1", "line").alias("t1"), F.sum(1 - F.col("b0")).alias("s0"), F.sum(1 - F.col("b1")).alias("s1"), F.min(F.is_valid_utf8("value")).alias("valid"))
-    file = Window.partitionBy("source_file").orderBy("block")
-    placed = _after(blocks, ["source_file"], "block").withColumn("inside", F.coalesce(F.lag("a0").over(file), F.lit(0)))
+    blocks = own.groupBy(*block).agg(F.max_by("a0", "line").alias("t0"), F.max_by("a1", "line").alias("t1"), F.sum(1 - F.col("b0")).alias("s0"), F.sum(1 - F.col("b1")).alias("s1"), F.min(F.is_valid_utf8("value")).alias("valid"))
+    file = Window.partitionBy("source_file").orderBy("block", "piece")
+    placed = _after(blocks, ["source_file"], "block", "piece").withColumn("inside", F.coalesce(F.lag("a0").over(file), F.lit(0)))
     placed = placed.withColumn("starts", F.when(F.col("inside") == 1, F.col("s1")).otherwise(F.col("s0")))
-    placed = placed.select("source_file", "block", "inside", F.coalesce(F.sum("starts").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.min("valid").over(Window.partitionBy("source_file")).alias("utf8"))
+    placed = placed.select(*block, "inside", F.coalesce(F.sum("starts").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.min("valid").over(Window.partitionBy("source_file")).alias("utf8"))
     inside = F.col("inside") == 1
-    met = own.join(placed, ["source_file", "block"]).select(
+    met = own.join(placed, block).select(
         "source_file", "block", "line", (F.col("offset") + F.when(inside, F.col("n1")).otherwise(F.col("n0")) - 1).alias("record_no"),
         F.when(inside, F.col("b1")).otherwise(F.col("b0")).alias("begins"), F.when(inside, F.col("a1")).otherwise(F.col("a0")).alias("ends"),
         F.when(F.col("utf8"), F.col("value")).otherwise(F.decode(F.col("value").cast("binary"), "ISO-8859-1")).alias("value"),
