@@ -212,3 +212,14 @@ def test_sessions_and_sales(spark):
         assert sales_by_sessions(*empty).count() == 0
     assert sales_by_sessions(sales_df, lines.limit(0), clicks_df).count() == 4
     assert OPEN > us(0)
+
+
+def test_joined_ids_are_not_gathered_by_an_aggregate(spark):
+    """An aggregate's lists of the ids of many blocks are in a task's memory at once; sorted rows are one block's at a time."""
+    from tidemark.llm import collocations as co
+
+    level = spark.createDataFrame([(1, "en", ["a", "b"], [2, 1], [0, 1, 0, -1]), (2, "en", ["c"], [1], [0, -1]), (3, "fr", ["a", "b"], [1, 1], [0, 1, -1])], co.WORD_BLOCKS)
+    names = spark.createDataFrame([("en", "a", 7), ("en", "b", 9), ("fr", "x", 4)], "lang string, word string, id long")
+    joined = co._joined(level, names, co.WORD)
+    assert "collect_list" not in joined._jdf.queryExecution().toString()
+    assert [(r.block, r.lang, [tuple(x) for x in r["keys"]], r["counts"]) for r in joined.collect()] == [(1, "en", [(7, 9), (9, 7)], [1, 1])]
